@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from riskloom.functions import scan
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """One row per group: keys, ``n`` and ``q``, the values at ``probs`` in order."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
+              weight: str | None = None) -> DataFrame:
+    """One row per group: keys, ``n`` and ``q``, the values at ``probs`` in order. With ``weight``
+    the rows are value counts already."""
+    times = F.sum(weight) if weight else F.count("*")
+    counts = df.groupBy(*keys, value).agg(times.alias("_n"))
     pos = scan.running(counts, keys, [value], sums={"_from": "_n"})
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*keys).agg(times.alias("n"))
     pos = pos.join(sizes, keys)
     at = F.array(*[F.lit(float(p)) for p in probs])
     # each wanted position needs the values at its floor and its ceiling
