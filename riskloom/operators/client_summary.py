@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scan
+from riskloom.functions.rounding import half_up
 from riskloom.sources import schema as S
 from riskloom.sources.transactions import normalise, with_profile
 
@@ -22,9 +23,9 @@ def client_summary(tx: DataFrame, profiles: DataFrame, asof: int | None = None)
     n = F.col("tx_count")
     return with_profile(g, profiles).select(
         "client_id", "age", "home_city", "tx_count",
-        F.round((F.col("avg_ticket") * S.PRIOR_WEIGHT + F.col("_sum")) / (n + S.PRIOR_WEIGHT), 2).alias("avg_amount"),
-        F.round("_max", 2).alias("max_amount"), "tenure_days",
-        F.round(F.col("_night") / n, 3).alias("night_share"))
+        half_up((F.col("avg_ticket") * S.PRIOR_WEIGHT + F.col("_sum")) / (n + S.PRIOR_WEIGHT), 2).alias("avg_amount"),
+        half_up("_max", 2).alias("max_amount"), "tenure_days",
+        half_up(F.col("_night") / n, 3).alias("night_share"))
 
 
 def client_usage(tx: DataFrame) -> DataFrame:

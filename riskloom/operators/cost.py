@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.economics import (CLV_AMOUNT_FACTOR, CLV_FLOOR, CLV_MONTHS, Economics)
+from riskloom.functions.rounding import half_up
 from riskloom.sources.schema import ACTIONS, SCHEMES
 
 DEFAULT = Economics()
@@ -80,10 +81,10 @@ def expected_costs(econ: Economics = DEFAULT, p="p_fraud", amount="amount", tx_t
     p = F.least(F.greatest(_c(p), F.lit(0.0)), F.lit(1.0))
     loss = loss_given_fraud(econ, amount, tx_type)
     clv = client_value(econ, amount, avg, count)
-    out = {"allow": F.round(p * loss, 2)}
+    out = {"allow": half_up(p * loss)}
     for a in ACTIONS[1:]:
         missed = p * (1.0 - stop_rate(a, econ, probs)) * loss
-        out[a] = F.round(missed + operating_cost(a, econ) + (1.0 - p) * friction(a, econ, amount, clv), 2)
+        out[a] = half_up(missed + operating_cost(a, econ) + (1.0 - p) * friction(a, econ, amount, clv))
     return out
 
 
@@ -110,8 +111,8 @@ def decide(df: DataFrame, econ: Economics = DEFAULT, **kw) -> DataFrame:
         "action": F.col("_ranked")[0]["action"],
         "chosen_cost": F.col("_ranked")[0]["cost"],
         "runner_up": F.col("_ranked")[1]["action"],
-        "margin_to_next": F.round(F.col("_ranked")[1]["cost"] - F.col("_ranked")[0]["cost"], 2),
-        "saving_vs_allow": F.round(F.col("cost_allow") - F.col("_ranked")[0]["cost"], 2),
+        "margin_to_next": half_up(F.col("_ranked")[1]["cost"] - F.col("_ranked")[0]["cost"]),
+        "saving_vs_allow": half_up(F.col("cost_allow") - F.col("_ranked")[0]["cost"]),
     }).drop("_ranked")
 
 
@@ -140,7 +141,3 @@ def realised_cost(action, econ: Economics = DEFAULT, amount="amount", tx_type="t
 
 def threshold_action(p, threshold: float = 0.5) -> Column:
     return F.when(_c(p) >= threshold, "block").otherwise("allow")
-
-
-def round_to(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})

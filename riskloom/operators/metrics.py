@@ -107,7 +107,7 @@ def recall_at_precision(df: DataFrame, targets: list[float], score: str = "p_fra
     return _finish(g.select(*by, rows.alias("r")).select(*by, "r.*"), keys)
 
 
-def brier(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud") -> Column:
+def brier(score: str = "p_fraud", label: str = "is_fraud") -> Column:
     d = F.col(score) - F.col(label).cast("double")
     return F.avg(d * d)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.economics import Economics
+from riskloom.functions.rounding import half_up
 from riskloom.operators import cost
 from riskloom.sources.schema import ACTIONS, SCHEMES
 
@@ -108,8 +109,8 @@ def decision_map(tx: DataFrame, n_amount: int = 26, n_p: int = 41, amount_min: f
         "amount": F.exp(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("i") / (n_amount - 1)),
         "p": F.col("j") / (n_p - 1)})
     d = cost.with_costs(d, econ, p="p", probs=scheme_probs(F.col("kind")), avg=None, count=None)
-    return d.select("tx_type", "kind", "i", "j", F.round("amount", 2).alias("amount"),
-                    F.round("p", 4).alias("p"), cost.cheapest({a: f"cost_{a}" for a in ACTIONS}).alias("action"))
+    return d.select("tx_type", "kind", "i", "j", half_up("amount", 2).alias("amount"),
+                    half_up("p", 4).alias("p"), cost.cheapest({a: f"cost_{a}" for a in ACTIONS}).alias("action"))
 
 
 def variants(base: Economics = cost.DEFAULT) -> dict[str, Economics]:
@@ -156,4 +157,4 @@ def cost_sensitivity(scored: DataFrame, worlds: dict[str, Economics] | None = No
         F.sum(paid("_base")).alias("_ours"), F.sum(paid("_ideal")).alias("_best"))
     return g.select("parameter", "changed_share",
                     F.coalesce(F.try_divide(F.col("_ours") - F.col("_best"), F.col("_best")), F.lit(0.0)).alias("regret_share"),
-                    F.round(F.col("_ours") - F.col("_best"), 2).alias("regret_absolute"))
+                    half_up(F.col("_ours") - F.col("_best"), 2).alias("regret_absolute"))
