@@ -13,7 +13,7 @@ from riskloom.functions.economics import Economics
 from riskloom.functions.rounding import half_up
 from riskloom.functions.storage import ensure_checkpoint_dir
 from riskloom.operators import client_summary as cs
-from riskloom.operators import cost, dashboard, drift, graph, metrics, policies
+from riskloom.operators import anomaly, cost, counterfactual, dashboard, drift, explain, graph, metrics, models, policies
 from riskloom.operators.client_features import client_features, client_state
 from riskloom.operators.components import component_features
 from riskloom.operators.entity_features import with_entity_features
@@ -351,22 +351,13 @@ def policy_per_type(spark, sf):
 @query
 def what_if(spark, sf):
     """Choices over the whole probability range, for every transaction, counted by type and scheme."""
-    r = X.scored_events(spark, sf).select("tx_type", "amount", _kind().alias("kind"))
+    r = X.scored_events(spark, sf).select("tx_type", "amount", models.dominant_kind().alias("kind"))
     d = policies.what_if(r)
     return rounded(d.groupBy("tx_type", "kind", "p").agg(
         *[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in S.ACTIONS],
         *[F.avg(f"cost_{a}").alias(f"cost_{a}") for a in S.ACTIONS]), 4)
 
 
-def _kind():
-    """The most likely scheme; equal ones in class order."""
-    best = F.greatest(*[F.col(f"p_{s}") for s in S.SCHEMES])
-    out = F.lit(sorted(S.SCHEMES)[-1])
-    for s in reversed(sorted(S.SCHEMES)[:-1]):
-        out = F.when(F.col(f"p_{s}") == best, s).otherwise(out)
-    return out
-
-
 @query
 def decision_map(spark, sf):
     return rounded(policies.decision_map(X.scored_events(spark, sf)), 4)
@@ -445,27 +436,25 @@ def metric_spread(spark, sf):
 
 @query
 def type_accuracy(spark, sf):
-    return rounded(metrics.type_accuracy(X.scored_events(spark, sf).withColumn("predicted_kind", _kind_shifted())))
+    return rounded(metrics.type_accuracy(X.scored_events(spark, sf).withColumn("predicted_kind", _stand_in_kind())))
 
 
-def _kind_shifted():
+def _stand_in_kind():
     """A stand-in prediction that is wrong for every ninth transaction."""
-    return F.when(F.col("tx_id") % 9 == 0, "fraud_ring").otherwise(_kind())
+    return F.when(F.col("tx_id") % 9 == 0, "fraud_ring").otherwise(models.dominant_kind())
 
 
 @query
 def dominant_kind(spark, sf):
-    return X.scored_events(spark, sf).select("tx_id", _kind().alias("dominant_kind"))
+    return X.scored_events(spark, sf).select("tx_id", models.dominant_kind().alias("dominant_kind"))
 
 
 @query
 def noisy_or(spark, sf):
     """An anomaly probability up to the cap joined to the supervised one by "or"."""
-    from riskloom.operators.anomaly import DEFAULT_CAP, noisy_or as combine
-
     raw = (F.col("k") / 200).cast("double")
-    d = X.scored_events(spark, sf).select("tx_id", "p_fraud", F.least(raw, F.lit(DEFAULT_CAP)).alias("p_anomaly"))
-    return rounded(d.withColumn("p_fused", combine(F.col("p_fraud"), F.col("p_anomaly"))))
+    d = X.scored_events(spark, sf).select("tx_id", "p_fraud", F.least(raw, F.lit(anomaly.DEFAULT_CAP)).alias("p_anomaly"))
+    return rounded(d.withColumn("p_fused", anomaly.noisy_or(F.col("p_fraud"), F.col("p_anomaly"))))
 
 
 # ---------------------------------------------------------------- drift
@@ -512,7 +501,7 @@ def stats_actions(spark, sf):
 
 @query
 def feed(spark, sf):
-    d = dashboard.feed(_decided(spark, sf).withColumn("dominant_kind", _kind()), 40, "hold")
+    d = dashboard.feed(_decided(spark, sf).withColumn("dominant_kind", models.dominant_kind()), 40, "hold")
     return rounded(d.select("tx_id", "us", "client_id", "amount", "city", "country", "merchant_category", "channel",
                             "tx_type", "p_fraud", "action", "is_fraud", "fraud_type", "dominant_kind"))
 
@@ -550,3 +539,88 @@ def capacity_curve(spark, sf):
 @query
 def capacity_selected(spark, sf):
     return rounded(dashboard.nearest_operators(dashboard.capacity_curve(_decided(spark, sf)), 1))
+
+
+# ---------------------------------------------------------------- explanation
+
+EXPLAINED = [f for f in S.FEATURES if f not in S.NETWORK_FEATURES and not f.startswith("clients_per")]
+
+
+def _attributed(spark, sf):
+    """Feature rows with stand-in contributions."""
+    d = client_features(_state(spark, sf))
+    c = F.transform(F.sequence(F.lit(0), F.lit(len(EXPLAINED) - 1)), lambda j: (
+        ((F.col("tx_id") * (j + 3) + F.col("k") * 7) % 41 - 20) / F.lit(100.0)))
+    return d.withColumn("contributions", c)
+
+
+@query
+def top_reasons(spark, sf):
+    d = _attributed(spark, sf).select("tx_id", F.posexplode(explain.top_reasons(F.col("contributions"), EXPLAINED)).alias("rank", "r"))
+    return rounded(d.select("tx_id", "rank", "r.feature", "r.contribution"))
+
+
+@query
+def reasons(spark, sf):
+    d = explain.reasons(_attributed(spark, sf).select("tx_id", "contributions"), EXPLAINED)
+    return rounded(d.select("tx_id", "reason_no", "feature", "contribution", "direction"))
+
+
+@query
+def reason_text(spark, sf):
+    """The shorter list of the feed, in words."""
+    d = explain.reasons(_attributed(spark, sf), EXPLAINED, top_risk=3, top_safe=1)
+    return explain.reason_text(d, features=EXPLAINED).select("tx_id", "reason_no", "feature", "text")
+
+
+@query
+def client_message(spark, sf):
+    d = dashboard.decided(X.scored_events(spark, sf)).withColumn("dominant_kind", models.dominant_kind())
+    return d.select("tx_id", *[explain.client_message(lang).alias(f"message_{lang}") for lang in ("ru", "kk", "en")])
+
+
+@query
+def operator_script(spark, sf):
+    d = dashboard.decided(X.scored_events(spark, sf)).withColumn("dominant_kind", models.dominant_kind())
+    return d.select("tx_id", *[explain.operator_script(lang).alias(f"script_{lang}") for lang in ("ru", "kk", "en")])
+
+
+def _explainable(spark, sf):
+    """Decisions with what the search for changes needs to know about the client."""
+    st = client_state(X.scored_events(spark, sf), X.profiles(spark, sf), X.places(spark, sf))
+    usual = cs.client_usage(X.tx_events(spark, sf)).where("kind = 'device' AND use_rank = 1").select(
+        "client_id", F.col("value").alias("usual_device"))
+    home = X.places(spark, sf).select(F.col("city").alias("home_city"), F.col("country").alias("home_country"))
+    d = st.withColumn("device_known", F.col("h_n_device") > 0).join(usual, "client_id", "left").join(home, "home_city", "left")
+    return dashboard.decided(d.select(
+        "tx_id", "amount", "tx_type", "is_vpn", "remote_access", "call_minutes_before", "device_id", "city", "country",
+        "p_fraud", "p_stolen_card", "p_social_eng", "p_fraud_ring", "usual_device", "device_known", "home_city", "home_country"))
+
+
+def _stand_in_scorer(d):
+    """Each single change lowers the probability by its own factor; the amount does not move it."""
+    factor = F.lit(1.0)
+    if "field" in d.columns:
+        for f, x in (("is_vpn", 0.3), ("remote_access", 0.2), ("call_minutes_before", 0.5), ("device_id", 0.4), ("city", 0.6)):
+            factor = F.when(F.col("field") == f, F.lit(x)).otherwise(factor)
+    return cost.decide(d.withColumn("p_fraud", F.col("_base_p") * factor), avg=None, count=None)
+
+
+CHANGE = ["tx_id", "field", "was", "becomes", "action_from", "action_to", "p_from", "p_to"]
+
+
+@query
+def counterfactual_flips(spark, sf):
+    return rounded(counterfactual.flips(_explainable(spark, sf), _stand_in_scorer).select(*CHANGE))
+
+
+@query
+def counterfactual_amount(spark, sf):
+    d = counterfactual.amount_boundary(_explainable(spark, sf), _stand_in_scorer)
+    return rounded(d.withColumn("becomes", F.col("becomes").cast("double")).select("tx_id", "becomes", "action_from", "action_to"), 2)
+
+
+@query
+def counterfactual_rank(spark, sf):
+    d = counterfactual.find_counterfactuals(_explainable(spark, sf), _stand_in_scorer)
+    return d.select("tx_id", "rank", "field", "action_from", "action_to", "text", "note")

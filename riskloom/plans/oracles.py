@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from riskloom.functions import phrases as P
 from riskloom.functions.economics import Economics
 from riskloom.operators.policies import GRID
-from riskloom.sources.schema import (ACCUMULATING, ACTIONS, CATEGORY_RISK, CHANNELS, FEATURES, SCHEMES,
-                                     TX_TYPES)
+from riskloom.sources.schema import (ACCUMULATING, ACTIONS, CATEGORY_RISK, CHANNELS, FEATURES,
+                                     NETWORK_FEATURES, SCHEMES, TX_TYPES)
 
 ECON = Economics()
 ORACLES: dict[str, str] = {}
@@ -531,3 +532,102 @@ LEFT JOIN (SELECT row_number() OVER w AS rn, sum(saving) OVER w AS got FROM hold
 CROSS JOIN (SELECT sum(saving) AS total FROM holds) CROSS JOIN period""")
 oracle("capacity_curve", f"SELECT {r('share_of_calls', 'share_of_calls')}, calls, {rs(['share_of_value', 'operators'])} FROM cap_curve", "cap_curve")
 oracle("capacity_selected", f"SELECT {r('share_of_calls', 'share_of_calls')}, calls, {rs(['share_of_value', 'operators'])} FROM cap_curve ORDER BY abs(operators - 1), share_of_calls LIMIT 1", "cap_curve")
+
+# ------------------------------------------------------------------ explanation
+EXPLAINED = [f for f in FEATURES if f not in NETWORK_FEATURES and not f.startswith("clients_per")]
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+cte("contrib", ["tx"], f"""SELECT tx_id, j, feature, ((tx_id * (j + 3) + k * 7) % 41 - 20) / CAST(100 AS DOUBLE) AS c
+FROM tx CROSS JOIN (VALUES {', '.join(f"({j}, '{f}')" for j, f in enumerate(EXPLAINED))}) v(j, feature)""")
+oracle("top_reasons", f"""SELECT tx_id, CAST(rk - 1 AS INT) AS rank, feature, {r('c', 'contribution', 4)} FROM
+ (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY c DESC, j) AS rk FROM contrib) WHERE rk <= 3 AND c > 0""", "contrib")
+for _name, _risk, _safe in (("why", 4, 2), ("why_feed", 3, 1)):
+    cte(_name, ["contrib"], f"""SELECT tx_id, CAST(row_number() OVER (PARTITION BY tx_id ORDER BY abs(c) DESC, j) - 1 AS INT) AS reason_no, feature, c,
+ CASE WHEN c > 0 THEN 'risk' ELSE 'safe' END AS direction
+ FROM (SELECT *, row_number() OVER (PARTITION BY tx_id, c > 0 ORDER BY abs(c) DESC, j) AS rk FROM contrib WHERE abs(c) >= 0.0001)
+ WHERE rk <= CASE WHEN c > 0 THEN {_risk} ELSE {_safe} END""")
+oracle("reasons", f"SELECT tx_id, reason_no, feature, {r('c', 'contribution', 4)}, direction FROM why", "why")
+
+
+def shown_sql(f: str) -> str:
+    if f not in P.SHOWN:
+        return "''"
+    source, fmt = P.SHOWN[f]
+    if source == "city":
+        return "t.city"
+    col = {"category": "t.merchant_category", "channel": "t.channel", "tx_type": "t.tx_type"}.get(source)
+    if col:
+        return f"CASE {col} " + " ".join(f"WHEN '{c}' THEN {q(n)}" for c, n in P.CODE_NAMES_EN[source].items()) + f" ELSE {col} END"
+    num = {"amount": "t.amount", "hours": f"f.{f} * 24", "minutes": f"f.{f} * 60", "feature": f"f.{f}"}[source]
+    return f"format('{{:{fmt}}}', {num})"
+
+
+TEXT = "CASE w.direction || ':' || w.feature " + " ".join(
+    f"WHEN '{d}:{f}' THEN replace({q(t)}, '{{v}}', {shown_sql(f)})"
+    for d, table in (("risk", P.RISK_EN), ("safe", P.SAFE_EN)) for f, t in table.items() if f in EXPLAINED) + \
+    f" ELSE replace(CASE w.direction WHEN 'risk' THEN {q(P.GENERIC['risk']['en'])} ELSE {q(P.GENERIC['safe']['en'])} END, '{{f}}', w.feature) END"
+oracle("reason_text", f"SELECT w.tx_id, w.reason_no, w.feature, {TEXT} AS text FROM why_feed w JOIN tx t USING (tx_id) JOIN fclient f USING (tx_id)", "why_feed", "tx", "fclient")
+SPACED = "replace(format('{:,.0f}', amount), ',', ' ')"
+
+
+def message_sql(lang: str) -> str:
+    parts = []
+    for (a, k), t in sorted(P.CLIENT_MESSAGES.items(), key=lambda x: x[0][1] == "default"):
+        cond = f"action = '{a}'" + ("" if k == "default" else f" AND {KIND} = '{k}'")
+        parts.append(f"WHEN {cond} THEN replace({q(t[lang])}, '{{amount}}', {SPACED})")
+    return "CASE " + " ".join(parts) + f" ELSE '' END AS message_{lang}"
+
+
+def script_sql(lang: str) -> str:
+    parts = [f"WHEN {KIND} = '{k}' THEN {q(t[lang])}" for k, t in P.OPERATOR_SCRIPTS.items()]
+    return f"CASE WHEN action NOT IN ('hold', 'block') THEN '' {' '.join(parts)} END AS script_{lang}"
+
+
+oracle("client_message", f"SELECT tx_id, {', '.join(message_sql(x) for x in P.LANGUAGES)} FROM dec_fb", "dec_fb")
+oracle("operator_script", f"SELECT tx_id, {', '.join(script_sql(x) for x in P.LANGUAGES)} FROM dec_fb", "dec_fb")
+
+SEV = "list_position(['allow', 'step_up', 'hold', 'block'], {})"
+cte("strict", ["dec_fb", "hist", "profiles", "usage"], """SELECT d.tx_id, d.amount, d.tx_type, d.is_vpn, d.remote_access, d.call_minutes_before, d.device_id, d.city,
+ d.p_fraud, d.p_stolen_card, d.p_social_eng, d.p_fraud_ring, d.action AS action_from, h.nd, p.home_city, u.value AS usual
+FROM dec_fb d JOIN hist h USING (tx_id) JOIN profiles p ON p.client_id = d.client_id
+JOIN usage u ON u.client_id = d.client_id AND u.kind = 'device' AND u.use_rank = 1 WHERE d.action <> 'allow'""")
+FLIPS = [("is_vpn", "'1'", "'0'", "is_vpn <> 0", 0.3), ("remote_access", "'1'", "'0'", "remote_access <> 0", 0.2),
+         ("call_minutes_before", "CAST(call_minutes_before AS VARCHAR)", "'0'", "call_minutes_before > 0", 0.5),
+         ("device_id", "device_id", "usual", "nd = 0", 0.4), ("city", "city", "home_city", "home_city <> city", 0.6)]
+cte("flip", ["strict"], f"""SELECT *, {best()} AS action_to FROM (SELECT *, {costs(clv=clv_amount(), p='p_to')} FROM (""" + " UNION ALL ".join(
+    f"SELECT *, {i} AS no, '{f}' AS field, {was} AS was, {to} AS becomes, p_fraud * {dbl(x)} AS p_to FROM strict WHERE {cond}"
+    for i, (f, was, to, cond, x) in enumerate(FLIPS)) + "))")
+cte("flip_soft", ["flip"], f"SELECT * FROM flip WHERE {SEV.format('action_to')} < {SEV.format('action_from')}")
+oracle("counterfactual_flips", f"SELECT tx_id, field, was, becomes, action_from, action_to, {r('p_fraud', 'p_from')}, {r('p_to', 'p_to')} FROM flip_soft", "flip_soft")
+
+
+def at_amount(src: str) -> str:
+    """Rows of ``src`` with the action chosen at their amount."""
+    return f"SELECT *, {best()} AS action_to FROM (SELECT *, {costs(clv=clv_amount())} FROM ({src}))"
+
+
+SOFT = f"{SEV.format('action_to')} < {SEV.format('action_from')}"
+cte("half", ["strict"], f"""SELECT tx_id, arg_min(amount, i) AS lo FROM ({at_amount('SELECT * REPLACE (amount / pow(CAST(2 AS DOUBLE), i) AS amount) FROM strict CROSS JOIN range(1, 21) t(i)')})
+ WHERE amount >= 100 AND {SOFT} GROUP BY tx_id""")
+cte("bisect", ["half", "strict"], f"""WITH RECURSIVE b(tx_id, step, llo, lhi, best) AS (
+ SELECT tx_id, 0, ln(lo), ln(amount), lo FROM half JOIN strict USING (tx_id)
+ UNION ALL SELECT tx_id, step + 1, CASE WHEN {SOFT} THEN ln(amount) ELSE llo END, CASE WHEN {SOFT} THEN lhi ELSE ln(amount) END, CASE WHEN {SOFT} THEN amount ELSE best END
+ FROM ({at_amount('SELECT s.* REPLACE (exp((llo + lhi) / 2) AS amount), step, llo, lhi, best FROM b JOIN strict s USING (tx_id) WHERE step < 12')}))
+SELECT tx_id, best FROM b WHERE step = 12""")
+cte("amount_soft", ["bisect", "strict"], f"""SELECT tx_id, amount AS becomes, action_from, action_to, p_fraud FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY try) AS rk
+ FROM ({at_amount('SELECT s.* REPLACE (CASE try WHEN 0 THEN greatest(100, floor(best / 100) * 100) ELSE best END AS amount), try FROM bisect JOIN strict s USING (tx_id) CROSS JOIN (VALUES (0), (1)) t(try)')})
+ WHERE try = 1 OR {SOFT}) WHERE rk = 1""")
+oracle("counterfactual_amount", f"SELECT tx_id, {r('becomes', 'becomes', 2)}, action_from, action_to FROM amount_soft", "amount_soft")
+CHANGE = "CASE field " + " ".join(
+    f"WHEN '{f}' THEN " + (f"replace({q(t['en'])}, '{{v}}', replace(format('{{:,.0f}}', round({cut('becomes', 2)}, 0)), ',', ' '))" if f == "amount" else q(t["en"]))
+    for f, t in P.CHANGE_TEXTS.items()) + " END"
+cte("changes", ["flip_soft", "amount_soft"], f"""SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY {SEV.format('action_to')}, p_to, no) AS rank FROM (
+ SELECT tx_id, no, field, CAST(NULL AS DOUBLE) AS becomes, action_from, action_to, p_to FROM flip_soft
+ UNION ALL SELECT tx_id, 5, 'amount', becomes, action_from, action_to, p_fraud FROM amount_soft)""")
+oracle("counterfactual_rank", f"""SELECT tx_id, CAST(rank AS INT) AS rank, field, action_from, action_to, {CHANGE} AS text, NULL AS note FROM changes WHERE rank <= 3
+UNION ALL SELECT tx_id, NULL, NULL, action, NULL, NULL, CASE action WHEN 'allow' THEN 'already_softest' ELSE 'nothing_helps' END FROM dec_fb
+ WHERE tx_id NOT IN (SELECT tx_id FROM changes)""", "changes", "dec_fb")
