@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import scan
 from riskloom.functions.economics import Economics
 from riskloom.functions.rounding import half_up
-from riskloom.functions.storage import ensure_checkpoint_dir
+from riskloom.functions.storage import ensure_checkpoint_dir, saved
 from riskloom.operators import client_summary as cs
-from riskloom.operators import anomaly, cost, counterfactual, dashboard, drift, explain, graph, metrics, models, policies
+from riskloom.operators import (anomaly, cost, counterfactual, dashboard, drift, experiments, explain, graph,
+                                metrics, models, policies, replay)
 from riskloom.operators.client_features import client_features, client_state
 from riskloom.operators.components import component_features
 from riskloom.operators.entity_features import with_entity_features
@@ -624,3 +625,137 @@ def counterfactual_amount(spark, sf):
 def counterfactual_rank(spark, sf):
     d = counterfactual.find_counterfactuals(_explainable(spark, sf), _stand_in_scorer)
     return d.select("tx_id", "rank", "field", "action_from", "action_to", "text", "note")
+
+
+# ---------------------------------------------------------------- replay
+
+@query
+def replay_sequence(spark, sf):
+    """The last two days of every client played as a scenario on top of the history before them."""
+    tx = X.scored_events(spark, sf)
+    end = tx.groupBy(F.lit(0).alias("_all")).agg(F.max("us").alias("_end"))
+    d = tx.withColumn("_all", F.lit(0)).join(F.broadcast(end), "_all").drop("_all")
+    late = F.col("us") >= F.col("_end") - 2 * TX.DAY_US
+    steps = replay.replay(d.where(~late).drop("_end"), d.where(late).drop("_end").withColumn("scenario_id", F.col("client_id")),
+                          X.profiles(spark, sf), X.places(spark, sf))
+    steps = cost.decide(steps, avg=None, count=None)
+    peak = steps.groupBy("scenario_id").agg(F.max("tx_count_24h").alias("max_tx_count_24h"), F.max("amount_to_avg").alias("max_amount_to_avg"),
+                                            F.max("history_len").alias("max_history_len"))
+    return rounded(replay.outcome(steps).join(peak, "scenario_id"))
+
+
+@query
+def gate_reasons(spark, sf):
+    return drift.gate_reasons(drift.gate(drift.psi(_windows(spark, sf)), drift.calibration_by_week(X.scored_events(spark, sf))))
+
+
+# ---------------------------------------------------------------- models (rows only)
+
+# smaller learners than the defaults, so that a check of all queries stays short
+SHORT = models.Config(rounds=20, step=0.1, type_trees=20)
+SHORT_SEEDS = [0, 1]
+_STORED: dict[tuple[str, str], DataFrame] = {}
+KEEP = ["client_id", "amount", "tx_type", "is_fraud", "fraud_type", "us"]
+
+
+def stored_features(spark, sf):
+    """The feature table all model queries read, stored once per session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        split = metrics.time_split(X.tx_events(spark, sf).select("tx_id", "us")).select("tx_id", "row_index", "split")
+        m = feature_matrix(X.tx_events(spark, sf), X.profiles(spark, sf), X.places(spark, sf), KEEP)
+        _STORED[at] = saved(m.join(split, "tx_id"))
+    return _STORED[at]
+
+
+_MODELS: dict[tuple[str, str], models.RiskModel] = {}
+
+
+def _model(spark, sf):
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _MODELS:
+        _MODELS[at] = models.fit(stored_features(spark, sf), SHORT)
+    return _MODELS[at]
+
+
+@query
+def model_scored(spark, sf):
+    """The whole chain on the test slice: score, calibrate, fuse, recalibrate, scheme, decision."""
+    d = _model(spark, sf).decide(stored_features(spark, sf).where("split = 'test'"))
+    return d.select("tx_id", "p_raw", "p_supervised", "anomaly_score", "p_anomaly", "p_fraud",
+                    *[f"p_{s}" for s in S.SCHEMES], "dominant_kind", "action", "chosen_cost", "runner_up", "is_fraud")
+
+
+@query
+def model_reloaded(spark, sf):
+    """The chain after storing the model and reading it back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/bundle-{uuid.uuid4().hex}"
+    _model(spark, sf).save(path)
+    d = models.RiskModel.load(spark, path).decide(stored_features(spark, sf).where("split = 'test'"))
+    return d.select("tx_id", "p_fraud", "action")
+
+
+@query
+def model_quality(spark, sf):
+    d = _model(spark, sf).score(stored_features(spark, sf).where("split = 'test'")).withColumn("fold", F.lit(1))
+    return metrics.fold_metrics(d).join(d.groupBy("fold").agg(
+        metrics.brier("p_raw").alias("brier_raw"), metrics.brier("p_fraud").alias("brier_calibrated")), "fold")
+
+
+@query
+def training_curve(spark, sf):
+    return models.training_curve(_model(spark, sf).fraud, stored_features(spark, sf).where("split = 'valid'"), S.FEATURES)
+
+
+@query
+def feature_importance(spark, sf):
+    return models.feature_importance(_model(spark, sf).fraud, S.FEATURES, spark)
+
+
+@query
+def anomaly_scores(spark, sf):
+    return _model(spark, sf).forest.score(stored_features(spark, sf), "anomaly_score").select("tx_id", "anomaly_score")
+
+
+@query
+def contributions(spark, sf):
+    """Attribution of the test slice, with the three stored reasons."""
+    d = explain.contributions(stored_features(spark, sf).where("split = 'test'"), _model(spark, sf).fraud)
+    return d.select("tx_id", "contributions", "base_value", explain.top_reasons(F.col("contributions")).alias("top_reasons"))
+
+
+@query
+def model_counterfactuals(spark, sf):
+    """Changes that soften decisions of the real model on the test slice."""
+    base = stored_features(spark, sf).where("split = 'test'").select("tx_id", *[
+        f for f in S.FEATURES if f in ("component_clients", "component_size")])
+    st = with_entity_features(client_features(_state(spark, sf)))
+    frame = saved(st.join(base, "tx_id"))
+    usual = cs.client_usage(X.tx_events(spark, sf)).where("kind = 'device' AND use_rank = 1").select(
+        "client_id", F.col("value").alias("usual_device"))
+    home = X.places(spark, sf).select(F.col("city").alias("home_city"), F.col("country").alias("home_country"))
+    d = _model(spark, sf).decide(frame).withColumn("device_known", F.col("h_n_device") > 0)
+    d = d.drop(*[c for c in d.columns if c.startswith("cost_")]).join(usual, "client_id", "left").join(home, "home_city", "left")
+    scorer = counterfactual.model_scorer(st, _model(spark, sf), X.places(spark, sf))
+    return counterfactual.find_counterfactuals(d, scorer).select(*[c for c in CHANGE if c != "tx_id"], "tx_id", "rank", "text", "note")
+
+
+@query
+def ablation(spark, sf):
+    return experiments.ablation(stored_features(spark, sf), SHORT)
+
+
+@query
+def cap_sweep(spark, sf):
+    return experiments.cap_sweep(stored_features(spark, sf), SHORT, seeds=SHORT_SEEDS)
+
+
+@query
+def hidden_scheme(spark, sf):
+    return experiments.hidden_scheme(stored_features(spark, sf), SHORT, seeds=SHORT_SEEDS)
+
+
+@query
+def walkforward_models(spark, sf):
+    return metrics.fold_metrics(experiments.walk_forward(stored_features(spark, sf), SHORT))

@@ -631,3 +631,21 @@ cte("changes", ["flip_soft", "amount_soft"], f"""SELECT *, row_number() OVER (PA
 oracle("counterfactual_rank", f"""SELECT tx_id, CAST(rank AS INT) AS rank, field, action_from, action_to, {CHANGE} AS text, NULL AS note FROM changes WHERE rank <= 3
 UNION ALL SELECT tx_id, NULL, NULL, action, NULL, NULL, CASE action WHEN 'allow' THEN 'already_softest' ELSE 'nothing_helps' END FROM dec_fb
  WHERE tx_id NOT IN (SELECT tx_id FROM changes)""", "changes", "dec_fb")
+
+# ------------------------------------------------------------------ replay and wording of the gate
+cte("late", ["dec_fb"], f"SELECT * FROM dec_fb WHERE us >= (SELECT max(us) FROM dec_fb) - {2 * DAY}")
+oracle("replay_sequence", f"""SELECT client_id AS scenario_id, count(*) AS steps, arg_max(action, (us, tx_id)) AS final_action, {r('max(p_fraud)', 'max_p_fraud')},
+ {r('sum(amount)', 'total_amount')}, {r('max(f.tx_count_24h)', 'max_tx_count_24h')}, {r('max(f.amount_to_avg)', 'max_amount_to_avg')},
+ {r('max(f.history_len)', 'max_history_len')} FROM late JOIN fclient f USING (tx_id) GROUP BY client_id""", "late", "fclient")
+
+
+def gate_text() -> str:
+    from riskloom.operators.drift import GATE_TEXT
+
+    shown = {"data_shift": ("ns > 0", "sh"), "calibration": ("wg > 0.006", "format('{:.4f}', wg)")}
+    return " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, " + ", ".join(f"replace({q(t)}, '{{v}}', {shown[k][1]}) AS {lang}" for lang, t in texts.items())
+        + f" FROM gate WHERE {shown[k][0]}" for k, texts in GATE_TEXT.items())
+
+
+oracle("gate_reasons", gate_text(), "gate")
