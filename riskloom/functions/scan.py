@@ -1,11 +1,11 @@
 """Running aggregates "before me" that stay balanced when one key holds a large part of the rows.
 
-A window partitioned by a hot key would put all its rows in one task. Here the timeline of a key is
-cut into chunks at real row positions: a row is a cut when its hash is 0 modulo ``chunk_rows``, so a
-key gets one cut per ``chunk_rows`` rows on average and a cold key gets none. The window then runs
-per (key, chunk), and the totals of the earlier chunks of the same key are added from a carry table.
-The cut table and the carry table both have about rows / chunk_rows entries. Results do not depend
-on where the cuts fall.
+A window partitioned by a hot key would put all its rows in one task. Here the timeline of a large
+key is cut into chunks at real row positions: rows whose hash is 0 modulo ``chunk_rows`` are picked,
+about one per ``chunk_rows`` rows of the key, and a key with at least ``MIN_CUTS`` of them is cut
+there. The window then runs per (key, chunk), and the totals of the earlier chunks of the same key
+are added from a carry table. Both tables have at most about rows / chunk_rows entries. Results do
+not depend on where the cuts fall; without a large key the plan is the plain window.
 
 Set ``spark.riskloom.chunkRows`` to change the chunk size.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_ROWS = 2_000_000
+MIN_CUTS = 3
 BROADCAST_ROWS = 200_000  # above this many cuts the small side is joined by shuffle
 
 
@@ -39,19 +40,21 @@ class Cuts:
         return F.broadcast(df) if self.count <= BROADCAST_ROWS else df
 
 
-def find_cuts(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Cuts:
-    """Sample cut positions. One scan of the key and order columns, no shuffle of the rows."""
+def find_cuts(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None,
+              min_cuts: int = MIN_CUTS) -> Cuts:
+    """Sample cut positions: one scan of the key and order columns; only the picked rows move."""
     rows = rows or chunk_rows(df.sparkSession)
-    picked = (
-        df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0)
-        .select(*keys, F.struct(*order).alias("_at"))
+    picked = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0)
+    table = (
+        picked.select(*keys, F.struct(*order).alias("_at"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
+        .where(F.size("_cuts") >= min_cuts)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    n = picked.count()
+    n = table.agg(F.coalesce(F.sum(F.size("_cuts")), F.lit(0))).first()[0]
     if n == 0:
-        picked.unpersist()
+        table.unpersist()
         return Cuts(tuple(keys), tuple(order), None, 0)
-    table = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
     return Cuts(tuple(keys), tuple(order), table, n)
 
 
@@ -121,5 +124,5 @@ def global_index(df: DataFrame, order: list[str], name: str = "row_index",
     """Position of every row in the total order, from 0, without a single-task sort."""
     rows = rows or max(1, chunk_rows(df.sparkSession) // 8)
     d = df.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
-    cuts = find_cuts(d, ["_all"], order, rows)
+    cuts = find_cuts(d, ["_all"], order, rows, 1)
     return running(d, ["_all"], order, sums={name: "_one"}, cuts=cuts).drop("_all", "_one")

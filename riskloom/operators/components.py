@@ -26,7 +26,7 @@ from riskloom.functions import scan
 from riskloom.functions.storage import saved
 from riskloom.operators.entity_features import KINDS, _entity
 
-DEFAULT_SPAN_LINKS = 100_000
+DEFAULT_SPAN_LINKS = 500_000
 MERGE_SCHEMA = "us long, tx_id {tx}, part int, kept long, gone long, clients long, nodes long"
 
 
@@ -57,6 +57,7 @@ def min_labels(edges: DataFrame) -> DataFrame:
     moves: every node hands its larger neighbours, then its smaller ones, to its smallest
     neighbour (large-star and small-star)."""
     cur = edges.select("g", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    before = None
     while True:
         both = cur.unionByName(cur.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("g", "a").agg(F.min("b").alias("m")).select("g", "a", F.least("m", "a").alias("m"))
@@ -68,12 +69,11 @@ def min_labels(edges: DataFrame) -> DataFrame:
                                                 F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("g", "e.a", "e.b").where("a <> b").distinct())
         new = saved(small)
-        # stable when every node points at one label and no label points further
-        before = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "a", "b"))).first()
-        after = new.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "a", "b"))).first()
-        if tuple(before) == tuple(after):
+        # stable when a round changes nothing
+        after = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "a", "b"))).first())
+        if before == after:
             return new.select("g", F.col("a").alias("node"), F.col("b").alias("label"))
-        cur = new
+        cur, before = new, after
 
 
 def _replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +111,7 @@ def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     max_links = max_links or span_links(spark)
     order = ["us", "tx_id", "part"]
     e = saved(first_links.withColumn("_all", F.lit(0)))
-    cuts = scan.find_cuts(e, ["_all"], order, max_links)
+    cuts = scan.find_cuts(e, ["_all"], order, max_links, 2)
     levels = max(cuts.count, 0).bit_length()
     # client nodes are always on the u side
     e = scan.with_chunk(e, cuts).select(
@@ -145,22 +145,21 @@ def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     return saved(e.groupBy("leaf").applyInPandas(_replay, MERGE_SCHEMA.format(tx=tx_type)))
 
 
-def name_history(merge_log: DataFrame, clients: DataFrame) -> DataFrame:
-    """client node -> array of (us, tx_id, part, label), oldest first. Follows each client's component
-    through the merges that renamed it, all clients one step at a time."""
-    step = merge_log.select(F.col("gone").alias("label"), "us", "tx_id", "part", F.col("kept").alias("next"))
-    front = clients.select(F.col("u").alias("node"), F.col("u").alias("label"))
-    found = None
+def name_history(merge_log: DataFrame) -> DataFrame:
+    """node -> array of (us, tx_id, part, label), oldest first: the names the node's component took on.
+    Every node starts with its own next name and appends the names of the last one it knows, so the
+    known part doubles each round. Histories have logarithmic length."""
+    cur = merge_log.select(F.col("gone").alias("node"), F.array(
+        F.struct("us", "tx_id", "part", F.col("kept").alias("label"))).alias("names"))
     while True:
-        hop = saved(front.join(step, "label").select("node", F.col("next").alias("label"), "us", "tx_id", "part"))
-        if hop.isEmpty():
-            break
-        found = hop if found is None else found.unionByName(hop)
-        front = hop.select("node", "label")
-    if found is None:
-        found = merge_log.where("false").select(F.col("gone").alias("node"), F.col("kept").alias("label"), "us", "tx_id", "part")
-    # one entry per renaming, logarithmic in the number of nodes
-    return found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("us", "tx_id", "part", "label"))).alias("names"))
+        last = F.element_at("names", -1)["label"]
+        more = cur.select(F.col("node").alias("_last"), F.col("names").alias("_more"))
+        grown = saved(cur.withColumn("_last", last).join(more, "_last", "left").select(
+            "node", F.when(F.col("_more").isNull(), F.col("names")).otherwise(F.concat("names", "_more")).alias("names"),
+            F.col("_more").isNotNull().alias("grew")))
+        cur = grown.select("node", "names")
+        if grown.where("grew").isEmpty():
+            return cur
 
 
 def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame:
@@ -168,8 +167,7 @@ def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame
     d = tx.select("tx_id", "us", "client_id", *KINDS.values())
     first = links(d)
     log = merges(first, max_links)
-    clients = d.select(client_node().alias("u")).distinct()
-    names = name_history(log, clients)
+    names = name_history(log)
     probe = d.select("tx_id", "us", client_node().alias("node"))
     sized = log.select(F.col("kept").alias("label"), "us", "tx_id", "part", F.struct("clients", "nodes").alias("size"))
 
@@ -184,7 +182,7 @@ def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame
     # cut positions: resolve the names of the few sampled transactions only
     sample = probe.where(F.pmod(F.xxhash64("us", "tx_id"), F.lit(rows)) == 0)
     at = named(sample).select("label", *["us", "tx_id"], F.lit(-1).alias("part"))
-    cuts = scan.find_cuts(at, ["label"], order, 1)
+    cuts = scan.find_cuts(at, ["label"], order, 1, scan.MIN_CUTS)
     probes = named(probe).select("label", "us", "tx_id", F.lit(-1).alias("part"), F.lit(None).cast("struct<clients:bigint,nodes:bigint>").alias("size"))
     run = scan.running(probes.unionByName(sized), ["label"], order, lasts={"now": "size"}, cuts=cuts)
     return run.where("part = -1").select(

@@ -19,20 +19,26 @@ def _sum_of(cond: Column) -> Column:
     return F.sum(cond.cast("long"))
 
 
-def threshold_grid(df: DataFrame, grid: list[float] = GRID, econ: Economics = cost.DEFAULT) -> DataFrame:
-    """Realised cost of "block from t on" for every t of the grid. Rows are first reduced to one
-    total per grid step, so the table is read once whatever the grid size."""
+def _per_step(df: DataFrame, keys: list[str], grid: list[float], econ: Economics) -> DataFrame:
+    """Totals per grid step a probability reaches. The table is read once whatever the grid size."""
     step = sum(((F.col("p_fraud") >= t).cast("int") for t in grid), F.lit(0))
-    per_step = df.select(
-        step.alias("_step"), cost.realised_cost("block", econ).alias("_block"),
-        cost.realised_cost("allow", econ).alias("_allow"),
-    ).groupBy("_step").agg(F.sum("_block").alias("_block"), F.sum("_allow").alias("_allow"))
-    at = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("t"))
-                             for i, t in enumerate(grid)]))
-    return (per_step.select("*", at.alias("g"))
-            .groupBy(F.col("g.t").alias("threshold"))
-            .agg(F.sum(F.when(F.col("_step") >= F.col("g.i"), F.col("_block"))
-                       .otherwise(F.col("_allow"))).alias("total_cost")))
+    ours = {"_ours": cost.realised_cost(F.col("action"), econ)} if "action" in df.columns else {}
+    paid = {"_block": cost.realised_cost("block", econ), "_allow": cost.realised_cost("allow", econ), **ours}
+    return (df.select(*keys, step.alias("_step"), *[c.alias(n) for n, c in paid.items()])
+            .groupBy(*keys, "_step").agg(*[F.sum(n).alias(n) for n in paid]))
+
+
+def _grid_totals(per_step: DataFrame, keys: list[str], grid: list[float]) -> DataFrame:
+    """Cost of "block from t on" per threshold: steps at or above t block, the others allow."""
+    at = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(grid)]))
+    paid = F.when(F.col("_step") >= F.col("g.i"), F.col("_block")).otherwise(F.col("_allow"))
+    return per_step.select("*", at.alias("g")).groupBy(*keys, F.col("g.t").alias("threshold")).agg(
+        F.sum(paid).alias("total_cost"), *[F.sum(c).alias(c) for c in ("_allow", "_ours") if c in per_step.columns])
+
+
+def threshold_grid(df: DataFrame, grid: list[float] = GRID, econ: Economics = cost.DEFAULT) -> DataFrame:
+    """Realised cost of "block from t on" for every t of the grid."""
+    return _grid_totals(_per_step(df, [], grid, econ), [], grid).select("threshold", "total_cost")
 
 
 def best_threshold(df: DataFrame, grid: list[float] = GRID, econ: Economics = cost.DEFAULT) -> DataFrame:
@@ -42,24 +48,26 @@ def best_threshold(df: DataFrame, grid: list[float] = GRID, econ: Economics = co
         F.col("b.threshold").alias("threshold"), F.col("b.total_cost").alias("total_cost"))
 
 
-def compare_policies(test: DataFrame, valid: DataFrame, econ: Economics = cost.DEFAULT) -> DataFrame:
-    """Cost of our policy (column ``action``), of no system and of two fixed thresholds. The best
-    threshold is chosen on ``valid``."""
-    totals = test.select(
-        cost.realised_cost(F.col("action"), econ).alias("ours"),
-        cost.realised_cost("allow", econ).alias("no_system"),
-    ).agg(F.sum("ours").alias("ours"), F.sum("no_system").alias("no_system"))
-    fixed = totals.select(F.explode(F.array(
-        F.struct(F.lit("ours").alias("policy"), F.lit(None).cast("double").alias("threshold"),
-                 F.col("ours").alias("cost")),
-        F.struct(F.lit("no_system").alias("policy"), F.lit(None).cast("double").alias("threshold"),
-                 F.col("no_system").alias("cost")))).alias("r")).select("r.*")
-    grid = threshold_grid(test, econ=econ)
-    half = grid.where(F.col("threshold") == 0.5).select(
-        F.lit("threshold_0.50").alias("policy"), "threshold", F.col("total_cost").alias("cost"))
-    best = grid.join(best_threshold(valid, econ=econ).select("threshold"), "threshold").select(
-        F.lit("threshold_best").alias("policy"), "threshold", F.col("total_cost").alias("cost"))
-    return fixed.unionByName(half).unionByName(best)
+def compare_policies(df: DataFrame, grid: list[float] = GRID, econ: Economics = cost.DEFAULT) -> DataFrame:
+    """Cost on the rows of split = test of our policy (column ``action``), of no system and of two
+    fixed thresholds, the better one chosen on split = valid. One pass over the table; everything
+    after the first aggregation is a handful of rows."""
+    d = df.where(F.col("split").isin("valid", "test"))
+    g = _grid_totals(_per_step(d, ["split"], grid, econ), ["split"], grid)
+    valid, test = F.col("split") == "valid", F.col("split") == "test"
+    one = g.agg(
+        F.min(F.when(valid, F.struct("total_cost", "threshold"))).alias("best"),
+        F.map_from_entries(F.collect_list(F.when(test, F.struct("threshold", "total_cost")))).alias("at"),
+        F.max(F.when(test, F.col("_allow"))).alias("no_system"), F.max(F.when(test, F.col("_ours"))).alias("ours"))
+
+    def row(name: str, threshold: Column, paid: Column) -> Column:
+        return F.struct(F.lit(name).alias("policy"), threshold.cast("double").alias("threshold"), paid.alias("cost"))
+
+    none, best = F.lit(None), F.col("best.threshold")
+    return one.select(F.explode(F.array(
+        row("ours", none, F.col("ours")), row("no_system", none, F.col("no_system")),
+        row("threshold_0.50", F.lit(0.5), F.try_element_at("at", F.lit(0.5))),
+        row("threshold_best", best, F.try_element_at("at", best)))).alias("r")).select("r.*")
 
 
 def policy_summary(df: DataFrame) -> DataFrame:

@@ -329,14 +329,12 @@ def _split(spark, sf):
 
 @query
 def policy_compare(spark, sf):
-    d = _split(spark, sf)
-    return rounded(policies.compare_policies(d.where("split = 'test'"), d.where("split = 'valid'")), 2)
+    return rounded(policies.compare_policies(_split(spark, sf)), 2)
 
 
 @query
 def policy_savings(spark, sf):
-    d = _split(spark, sf)
-    return rounded(dashboard.policy_savings(policies.compare_policies(d.where("split = 'test'"), d.where("split = 'valid'"))), 2)
+    return rounded(dashboard.policy_savings(policies.compare_policies(_split(spark, sf))), 2)
 
 
 @query

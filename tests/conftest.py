@@ -13,6 +13,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .getOrCreate())
@@ -28,7 +29,7 @@ def spark():
 @pytest.fixture
 def small_chunks(spark):
     """Force the paths for very large keys on small data."""
-    spark.conf.set("spark.riskloom.chunkRows", "40")
+    spark.conf.set("spark.riskloom.chunkRows", "12")
     spark.conf.set("spark.riskloom.spanLinks", "300")
     yield
     spark.conf.unset("spark.riskloom.chunkRows")
