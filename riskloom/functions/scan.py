@@ -58,10 +58,10 @@ def find_cuts(df: DataFrame, keys: list[str], order: list[str], rows: int | None
     return Cuts(tuple(keys), tuple(order), table, n)
 
 
-def _position(cuts: str, at: str) -> Column:
-    """How many sorted cuts are at or before a position, by binary search."""
+def _position(cuts: str, at: str, count: int) -> Column:
+    """How many sorted cuts are at or before a position, by binary search among at most ``count``."""
     return F.expr(
-        f"aggregate(sequence(24, 0, -1), 0, (lo, b) -> CASE WHEN "
+        f"aggregate(sequence({count.bit_length() - 1}, 0, -1), 0, (lo, b) -> CASE WHEN "
         f"get({cuts}, lo + shiftleft(1, b) - 1) <= {at} THEN lo + shiftleft(1, b) ELSE lo END)")
 
 
@@ -73,7 +73,7 @@ def with_chunk(df: DataFrame, cuts: Cuts) -> DataFrame:
         df.join(cuts.bounded(cuts.table), list(cuts.keys), "left")
         .withColumn("_at", F.struct(*cuts.order))
         .withColumns({
-            "_chunk": F.when(F.col("_cuts").isNull(), 0).otherwise(_position("_cuts", "_at")),
+            "_chunk": F.when(F.col("_cuts").isNull(), 0).otherwise(_position("_cuts", "_at", cuts.count)),
             "_hot": F.col("_cuts").isNotNull(),
         })
         .drop("_cuts", "_at")

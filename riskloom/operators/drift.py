@@ -19,12 +19,13 @@ SHARE_FLOOR = 1e-4
 
 def adjacent_windows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The test slice (``side`` = current) and the equally long window before it (reference)."""
-    d = metrics.time_split(df, order)
-    start = F.floor(F.col("_total") * (metrics.TRAIN_SHARE + metrics.VALID_SHARE))
-    length = F.col("_total") - start
-    i = F.col("row_index")
-    return d.withColumn("side", F.when(i >= start, "current").when(i >= start - length, "reference")
-                        ).where(F.col("side").isNotNull())
+    order = order or ["us", "tx_id"]
+    start = F.floor(F.col("n") * (metrics.TRAIN_SHARE + metrics.VALID_SHARE))
+    at = {"_current_at": start, "_reference_at": F.greatest(start - (F.col("n") - start), F.lit(0))}
+    d = metrics._attach(df, metrics.positions(df, at, order))
+    return d.withColumn("side", F.when(~metrics._before("_current_at", order), "current")
+                        .when(~metrics._before("_reference_at", order), "reference")
+                        ).where(F.col("side").isNotNull()).drop(*at)
 
 
 def verdict(psi: Column) -> Column:

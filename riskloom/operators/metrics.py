@@ -23,13 +23,35 @@ def _part(n: Column, share) -> Column:
     return F.floor(n * share)
 
 
+def positions(df: DataFrame, at: dict[str, Column], order: list[str] | None = None) -> DataFrame:
+    """One row with the order values of the rows at given indexes (expressions of the row count
+    ``n``); null past the end. Only the order columns are shuffled."""
+    order = order or ["us", "tx_id"]
+    idx = _with_total(scan.global_index(df.select(*order), order)).withColumn("n", F.col("_total"))
+    return idx.agg(*[F.max(F.when(F.col("row_index") == pos, F.struct(*order))).alias(name) for name, pos in at.items()])
+
+
+def _before(at: str, order: list[str]) -> Column:
+    return F.coalesce(F.struct(*order) < F.col(at), F.lit(True))
+
+
+def split_starts() -> dict[str, Column]:
+    n = F.col("n")
+    return {"_valid_at": _part(n, TRAIN_SHARE), "_test_at": _part(n, TRAIN_SHARE + VALID_SHARE)}
+
+
 def time_split(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Add ``row_index`` and ``split``: first 60 % train, next 15 % valid, rest test."""
-    d = _with_total(scan.global_index(df, order or ["us", "tx_id"]))
-    n, i = F.col("_total"), F.col("row_index")
-    return d.withColumn(
-        "split", F.when(i < _part(n, TRAIN_SHARE), "train")
-        .when(i < _part(n, TRAIN_SHARE + VALID_SHARE), "valid").otherwise("test"))
+    """Add ``split``: first 60 % train, next 15 % valid, rest test. Rows are compared with the two
+    boundary rows and do not move."""
+    order = order or ["us", "tx_id"]
+    d = _attach(df, positions(df, split_starts(), order))
+    return d.withColumn("split", F.when(_before("_valid_at", order), "train").when(_before("_test_at", order), "valid")
+                        .otherwise("test")).drop("_valid_at", "_test_at")
+
+
+def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table next to every row, by a join on a constant."""
+    return df.withColumn("_all", F.lit(0)).join(F.broadcast(one_row.withColumn("_all", F.lit(0))), "_all").drop("_all")
 
 
 def fold_table(df: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -54,11 +76,15 @@ def fold_ranges(n: int, folds: int = FOLDS) -> list[tuple[int, int, int]]:
     return out
 
 
-def test_fold(df: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Rows that are tested in some fold, with their ``fold`` (row ``row_index`` needed)."""
-    t = fold_table(df, folds)
-    return df.join(F.broadcast(t), (F.col("row_index") >= F.col("valid_end"))
-                   & (F.col("row_index") < F.col("test_end")))
+def test_fold(df: DataFrame, folds: int = FOLDS, order: list[str] | None = None) -> DataFrame:
+    """Rows that are tested in some fold, with their ``fold``. Test ranges follow each other, so a
+    row has at most one; it is found by comparing with the boundary rows."""
+    order = order or ["us", "tx_id"]
+    share = (1.0 - FIRST_TRAIN - FOLD_VALID) / folds
+    at = {f"_f{k}": _part(F.col("n"), FIRST_TRAIN + share * k + FOLD_VALID) for k in range(folds)}
+    d = _attach(df, positions(df, at, order))
+    fold = sum(((~_before(name, order)).cast("int") for name in at), F.lit(0))
+    return d.withColumn("fold", fold).where(F.col("fold") >= 1).drop(*at)
 
 
 def score_curve(df: DataFrame, score: str, label: str = "is_fraud", keys: list[str] | None = None) -> DataFrame:

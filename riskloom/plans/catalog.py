@@ -371,7 +371,8 @@ def cost_sensitivity(spark, sf):
 
 @query
 def time_split(spark, sf):
-    return metrics.time_split(X.tx_orders(spark, sf).select("tx_id", "us")).select("tx_id", "row_index", "split")
+    d = X.tx_orders(spark, sf).select("tx_id", "us")
+    return metrics.time_split(scan.global_index(d, ["us", "tx_id"])).select("tx_id", "row_index", "split")
 
 
 @query
@@ -415,7 +416,7 @@ def walkforward_folds(spark, sf):
 
 
 def _folds(spark, sf):
-    return metrics.test_fold(scan.global_index(X.scored_events(spark, sf), ["us", "tx_id"]))
+    return metrics.test_fold(X.scored_events(spark, sf))
 
 
 @query
@@ -660,7 +661,8 @@ def stored_features(spark, sf):
     """The feature table all model queries read, stored once per session."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
-        split = metrics.time_split(X.tx_events(spark, sf).select("tx_id", "us")).select("tx_id", "row_index", "split")
+        order = scan.global_index(X.tx_events(spark, sf).select("tx_id", "us"), ["us", "tx_id"])
+        split = metrics.time_split(order).select("tx_id", "row_index", "split")
         m = feature_matrix(X.tx_events(spark, sf), X.profiles(spark, sf), X.places(spark, sf), KEEP)
         _STORED[at] = saved(m.join(split, "tx_id"))
     return _STORED[at]

@@ -40,7 +40,8 @@ def parse_timestamp(name: str) -> Column:
 def read_transactions(spark: SparkSession, path: str,
                       rejects: Observation | None = None) -> DataFrame:
     """CSV with mixed timestamp spellings. Rows without a readable time are dropped; pass an
-    ``Observation`` to learn how many (metric ``rejected``) once an action has run."""
+    ``Observation`` to learn how many (metric ``rejected``) once an action that reads the file a
+    single time has run (a global sort reads it twice)."""
     raw = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "timestamp" else f
                         for f in S.TRANSACTION_SCHEMA])
     header = spark.read.option("header", True).csv(path).columns
