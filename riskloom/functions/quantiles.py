@@ -13,14 +13,15 @@ from riskloom.functions import scan
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, few_groups: bool = True) -> DataFrame:
     """One row per group: keys, ``n`` and ``q``, the values at ``probs`` in order. With ``weight``
-    the rows are value counts already."""
+    the rows are value counts already. ``few_groups`` says that the groups (features, folds, the
+    whole table) are few enough for one row each to be broadcast."""
     times = F.sum(weight) if weight else F.count("*")
     counts = df.groupBy(*keys, value).agg(times.alias("_n"))
     pos = scan.running(counts, keys, [value], sums={"_from": "_n"})
     sizes = df.groupBy(*keys).agg(times.alias("n"))
-    pos = pos.join(sizes, keys)
+    pos = pos.join(F.broadcast(sizes) if few_groups else sizes, keys)
     at = F.array(*[F.lit(float(p)) for p in probs])
     # each wanted position needs the values at its floor and its ceiling
     wanted = F.explode(F.filter(
