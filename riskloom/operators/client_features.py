@@ -99,25 +99,36 @@ def _edge_rows(d: DataFrame, hot: DataFrame, cuts: scan.Cuts) -> DataFrame:
     return expiry.unionByName(edge, allowMissingColumns=True)
 
 
-def client_state(tx: DataFrame, profiles: DataFrame, places: DataFrame,
+def _per_chunk(profiles: DataFrame, cuts: scan.Cuts) -> DataFrame:
+    """One copy of a profile per chunk of its client, so a large client is joined chunk by chunk."""
+    if cuts.table is None:
+        return profiles
+    size = cuts.bounded(cuts.table.select("client_id", F.size("_cuts").alias("_last")))
+    chunks = F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))
+    return profiles.join(size, "client_id", "left").withColumn("_chunk", F.explode(chunks)).drop("_last")
+
+
+def client_cuts(tx: DataFrame) -> scan.Cuts:
+    d = normalise(tx).select("client_id", "us", F.lit(1).alias("_cls"), "tx_id")
+    return scan.find_cuts(d, ["client_id"], ORDER)
+
+
+def client_state(tx: DataFrame, profiles: DataFrame | None = None, places: DataFrame | None = None,
                  cuts: scan.Cuts | None = None) -> DataFrame:
-    """Transactions with everything known about their client just before them."""
+    """Transactions with everything known about their client just before them. Without profiles and
+    places only what comes from the transactions themselves is added, which is all the network
+    pass needs."""
+    cuts = cuts or client_cuts(tx)
     d = normalise(tx).drop("lat", "lon").withColumn("_cls", F.lit(1))
-    if cuts is None:
-        cuts = scan.find_cuts(d.select("client_id", *ORDER), ["client_id"], ORDER)
     # without cuts ``_chunk`` is a constant; it stays out of the keys so the profile join and all
     # windows share one exchange
     parts = ["client_id"] if cuts.table is None else ["client_id", "_chunk"]
-    d = _measures(with_place(scan.with_chunk(d, cuts), places))
-    if cuts.table is None:
-        who = profiles
-    else:
-        copies = profiles.join(
-            cuts.bounded(cuts.table.select("client_id", F.size("_cuts").alias("_last_chunk"))),
-            "client_id", "left")
-        who = copies.withColumn("_chunk", F.explode(
-            F.sequence(F.lit(0), F.coalesce("_last_chunk", F.lit(0))))).drop("_last_chunk")
-    d = with_profile(d, who, parts).withColumn("_pos", F.lit(1))
+    d = scan.with_chunk(d, cuts)
+    unknown = F.lit(None).cast("double")
+    d = _measures(with_place(d, places) if places is not None else d.withColumns({"lat": unknown, "lon": unknown}))
+    if profiles is not None:
+        d = with_profile(d, _per_chunk(profiles, cuts), parts)
+    d = d.withColumn("_pos", F.lit(1))
     if cuts.table is not None:
         edge = _edge_rows(d, d.where("_hot"), cuts)
         d = d.unionByName(edge, allowMissingColumns=True)
@@ -156,8 +167,8 @@ def client_state(tx: DataFrame, profiles: DataFrame, places: DataFrame,
     if cuts.table is not None:
         out = out.where((F.col("_pos") == 1) & (F.col("_cls") == 1))
     drop = [c for c in out.columns if c.startswith(("m_", "n_", "f_"))]
-    return with_place(out.drop("_pos", "_cls", "_chunk", "_hot", *drop), places, "home_city",
-                      "home_lat", "home_lon")
+    out = out.drop("_pos", "_cls", "_chunk", "_hot", *drop)
+    return with_place(out, places, "home_city", "home_lat", "home_lon") if profiles is not None else out
 
 
 def _flag(cond):

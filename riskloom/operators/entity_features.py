@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scan
-from riskloom.operators.client_features import MONEY
-from riskloom.sources.transactions import DAY_US
+from riskloom.operators.client_features import MONEY, client_state
+from riskloom.sources.transactions import DAY_US, normalise
 
 KINDS = {"device": "device_id", "ip": "ip", "recipient": "recipient_id"}
 ORDER = ["us", "_cls", "tx_id"]
@@ -73,11 +73,15 @@ def entity_changes(state: DataFrame) -> DataFrame:
     return exploded.select("tx_id", "r.*")
 
 
-def entity_features(state: DataFrame, cuts: scan.Cuts | None = None) -> DataFrame:
-    """tx_id with the network counters; transactions without any entity are absent."""
-    changes = entity_changes(state).withColumn("_seen", F.when(F.col("_cls") == 1, F.col("us")))
+def entity_features(tx: DataFrame, cuts: scan.Cuts | None = None, client: scan.Cuts | None = None) -> DataFrame:
+    """tx_id with the network counters; transactions without any entity are absent. ``cuts`` are those
+    of the entities, ``client`` those of the clients."""
+    d = normalise(tx).select("tx_id", "timestamp", "us", "client_id", "amount", *KINDS.values(), "city", "country",
+                             "merchant_category", "channel", "tx_type", "is_vpn", "remote_access",
+                             "call_minutes_before", "session_duration_s")
+    changes = entity_changes(client_state(d, cuts=client)).withColumn("_seen", F.when(F.col("_cls") == 1, F.col("us")))
     # cuts are sampled from the plain transactions, any real positions will do
-    cuts = cuts or entity_cuts(state)
+    cuts = cuts or entity_cuts(d)
     sums = {"r_total": "total", "r_day": "day", "r_week": "week", "r_count": "count", "r_money": "money"}
     run = scan.running(changes, ["ent"], ORDER, sums=sums, mins={"r_first": "_seen"}, cuts=cuts)
     run = run.where(F.col("_cls") == 1)
@@ -115,6 +119,7 @@ WITHOUT_ENTITY = {
 }
 
 
-def with_entity_features(state: DataFrame, cuts: scan.Cuts | None = None) -> DataFrame:
-    out = state.join(entity_features(state, cuts), "tx_id", "left")
+def with_entity_features(df: DataFrame, tx: DataFrame, client: scan.Cuts | None = None) -> DataFrame:
+    """Add the network counters of ``tx`` to rows with its tx_id."""
+    out = df.join(entity_features(tx, client=client), "tx_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in WITHOUT_ENTITY.items()})

@@ -59,7 +59,8 @@ def _client(spark, sf, *names):
 
 
 def _network(spark, sf, *names):
-    return rounded(with_entity_features(_state(spark, sf)).select("tx_id", *names))
+    tx = X.tx_events(spark, sf)
+    return rounded(with_entity_features(tx.select("tx_id"), tx).select("tx_id", *names))
 
 
 # ---------------------------------------------------------------- sources and normalisation
@@ -193,7 +194,7 @@ def f_net_total(spark, sf):
 
 @query
 def f_recipient(spark, sf):
-    d = with_entity_features(client_features(_state(spark, sf)))
+    d = with_entity_features(client_features(_state(spark, sf)), X.tx_events(spark, sf))
     return rounded(d.select("tx_id", "is_new_recipient", "recipient_age_days", "recipient_is_new_to_bank"))
 
 
@@ -209,8 +210,9 @@ def f_net_window(spark, sf):
 @query
 def f_net_window_ties(spark, sf):
     """The same counters on a stream where many transactions share a timestamp."""
-    st = client_state(X.tx_orders(spark, sf), X.profiles(spark, sf), X.places(spark, sf))
-    return rounded(with_entity_features(client_features(st)).select("tx_id", "tx_count_24h", "clients_per_device", *NET_WINDOW))
+    tx = X.tx_orders(spark, sf)
+    st = client_state(tx, X.profiles(spark, sf), X.places(spark, sf))
+    return rounded(with_entity_features(client_features(st), tx).select("tx_id", "tx_count_24h", "clients_per_device", *NET_WINDOW))
 
 
 @query
@@ -730,7 +732,7 @@ def model_counterfactuals(spark, sf):
     """Changes that soften decisions of the real model on the test slice."""
     base = stored_features(spark, sf).where("split = 'test'").select("tx_id", *[
         f for f in S.FEATURES if f in ("component_clients", "component_size")])
-    st = with_entity_features(client_features(_state(spark, sf)))
+    st = with_entity_features(client_features(_state(spark, sf)), X.tx_events(spark, sf))
     frame = saved(st.join(base, "tx_id"))
     usual = cs.client_usage(X.tx_events(spark, sf)).where("kind = 'device' AND use_rank = 1").select(
         "client_id", F.col("value").alias("usual_device"))
