@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scan
+from riskloom.functions.storage import saved
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -18,9 +19,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
     the rows are value counts already. ``few_groups`` says that the groups (features, folds, the
     whole table) are few enough for one row each to be broadcast."""
     times = F.sum(weight) if weight else F.count("*")
-    counts = df.groupBy(*keys, value).agg(times.alias("_n"))
+    counts = saved(df.groupBy(*keys, value).agg(times.alias("_n")))
     pos = scan.running(counts, keys, [value], sums={"_from": "_n"})
-    sizes = df.groupBy(*keys).agg(times.alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     pos = pos.join(F.broadcast(sizes) if few_groups else sizes, keys)
     at = F.array(*[F.lit(float(p)) for p in probs])
     # each wanted position needs the values at its floor and its ceiling

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scan
 from riskloom.functions.rounding import half_up
+from riskloom.functions.storage import saved
 from riskloom.operators import cost
 from riskloom.sources.schema import ACTIONS, UNKNOWN_PLACE
 
@@ -136,8 +137,9 @@ def capacity_by_hour(df: DataFrame) -> DataFrame:
 def capacity_curve(df: DataFrame, call_minutes: float = 6.0, shift_hours: float = 8.0) -> DataFrame:
     """Value captured by the best 0, 10 .. 100 % of the calls."""
     per_shift = shift_hours * 60.0 / call_minutes
-    h = hold_savings(df).select("tx_id", "saving", (-F.col("saving")).alias("_down"), F.lit(0).alias("_all"),
-                                F.lit(1).cast("long").alias("_one"))
+    # a narrow table of the held transactions, so decisions are computed once
+    h = saved(hold_savings(df).select("tx_id", "saving")).withColumns({
+        "_down": -F.col("saving"), "_all": F.lit(0), "_one": F.lit(1).cast("long")})
     run = scan.running(h, ["_all"], ["_down", "tx_id"], sums={"_rank": "_one", "_above": "saving"})
     total = h.groupBy("_all").agg(F.count("*").alias("_holds"), F.sum("saving").alias("_total")).join(_period(df), "_all")
     step = F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct(

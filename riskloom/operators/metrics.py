@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scan
 from riskloom.functions.quantiles import quantiles
+from riskloom.functions.storage import saved
 from riskloom.sources.schema import SCHEMES
 
 TRAIN_SHARE, VALID_SHARE = 0.60, 0.15
@@ -91,46 +92,67 @@ def score_curve(df: DataFrame, score: str, label: str = "is_fraud", keys: list[s
     """One row per distinct score with positives and negatives at it (``pos``, ``neg``) and above it."""
     d = df if keys else df.withColumn("_all", F.lit(0))
     keys = keys or ["_all"]
-    g = d.groupBy(*keys, F.col(score).alias("score")).agg(
+    # scores may come from a model, so they are computed once
+    g = saved(d.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
-        F.sum(1 - F.col(label).cast("long")).alias("neg")).withColumn("_down", -F.col("score"))
+        F.sum(1 - F.col(label).cast("long")).alias("neg"))).withColumn("_down", -F.col("score"))
     return scan.running(g, keys, ["_down"], sums={"pos_above": "pos", "neg_above": "neg"}).drop("_down")
 
 
-def _finish(df: DataFrame, keys: list[str] | None) -> DataFrame:
-    return df if keys else df.drop("_all")
+def _measure(curve: DataFrame, keys: list[str] | None, *aggs: Column) -> DataFrame:
+    out = curve.groupBy(*(keys or ["_all"])).agg(*aggs)
+    return out if keys else out.drop("_all")
 
 
-def roc_auc(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud", keys=None) -> DataFrame:
-    c = score_curve(df, score, label, keys)
+# measures over the rows of a score curve
+
+def _tp() -> Column:
+    return F.col("pos_above") + F.col("pos")
+
+
+def _precision() -> Column:
+    return _tp() / (_tp() + F.col("neg_above") + F.col("neg"))
+
+
+def _auc() -> Column:
     area = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
-    return _finish(c.groupBy(*(keys or ["_all"])).agg(
-        F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc")), keys)
+    return F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+
+
+def _ap() -> Column:
+    return F.try_divide(F.sum(F.col("pos") * _precision()), F.sum("pos").cast("double"))
+
+
+def _recall(target: float) -> Column:
+    reached = F.max(F.when(_precision() >= target, _tp()))
+    return F.coalesce(F.try_divide(reached, F.sum("pos")), F.lit(0.0))
+
+
+def roc_auc(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud", keys=None) -> DataFrame:
+    return _measure(score_curve(df, score, label, keys), keys, _auc().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud", keys=None) -> DataFrame:
-    c = score_curve(df, score, label, keys)
-    tp, seen = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
-    return _finish(c.groupBy(*(keys or ["_all"])).agg(
-        F.try_divide(F.sum(F.col("pos") * tp / seen), F.sum("pos").cast("double")).alias("average_precision")), keys)
+    return _measure(score_curve(df, score, label, keys), keys, _ap().alias("average_precision"))
+
+
+def ranking_metrics(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud", keys=None) -> DataFrame:
+    """Average precision (``pr_auc``), ROC-AUC and recall at precision 0.90 from one score curve."""
+    return _measure(score_curve(df, score, label, keys), keys, _ap().alias("pr_auc"), _auc().alias("roc_auc"),
+                    _recall(0.90).alias("recall_at_precision90"))
 
 
 def recall_at_precision(df: DataFrame, targets: list[float], score: str = "p_fraud",
                         label: str = "is_fraud", keys=None) -> DataFrame:
     """Largest recall that keeps the precision, with its threshold; 0 and 1 if out of reach."""
-    c = score_curve(df, score, label, keys)
-    by = keys or ["_all"]
-    tp, seen = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
-    c = c.withColumns({"_tp": tp, "_prec": tp / seen})
-    g = c.groupBy(*by).agg(
-        F.sum("pos").alias("_p"),
-        *[F.max(F.when(F.col("_prec") >= t, F.struct(F.col("_tp"), (-F.col("score")).alias("_s")))).alias(f"_t{i}")
-          for i, t in enumerate(targets)])
+    best = [F.max(F.when(_precision() >= t, F.struct(_tp().alias("tp"), (-F.col("score")).alias("s")))).alias(f"_t{i}")
+            for i, t in enumerate(targets)]
+    g = _measure(score_curve(df, score, label, keys), keys, F.sum("pos").alias("_p"), *best)
     rows = F.explode(F.array(*[F.struct(
         F.lit(t).alias("target"),
-        F.coalesce(F.try_divide(F.col(f"_t{i}._tp"), F.col("_p")), F.lit(0.0)).alias("recall"),
-        F.coalesce(-F.col(f"_t{i}._s"), F.lit(1.0)).alias("threshold")) for i, t in enumerate(targets)]))
-    return _finish(g.select(*by, rows.alias("r")).select(*by, "r.*"), keys)
+        F.coalesce(F.try_divide(F.col(f"_t{i}.tp"), F.col("_p")), F.lit(0.0)).alias("recall"),
+        F.coalesce(-F.col(f"_t{i}.s"), F.lit(1.0)).alias("threshold")) for i, t in enumerate(targets)]))
+    return g.select(*(keys or []), rows.alias("r")).select(*(keys or []), "r.*")
 
 
 def brier(score: str = "p_fraud", label: str = "is_fraud") -> Column:
@@ -180,11 +202,7 @@ def fold_metrics(scored: DataFrame, score: str = "p_fraud") -> DataFrame:
     test rows of every fold with their ``fold``."""
     size = scored.groupBy("fold").agg(F.count("*").alias("rows_test"),
                                       F.sum(F.col("is_fraud").cast("long")).alias("fraud_in_test"))
-    return (size.join(average_precision(scored, score, keys=["fold"])
-                      .withColumnRenamed("average_precision", "pr_auc"), "fold")
-            .join(roc_auc(scored, score, keys=["fold"]), "fold")
-            .join(recall_at_precision(scored, [0.90], score, keys=["fold"])
-                  .select("fold", F.col("recall").alias("recall_at_precision90")), "fold"))
+    return size.join(ranking_metrics(scored, score, keys=["fold"]), "fold")
 
 
 def fold_scheme_share(scored: DataFrame, score: str = "p_fraud", min_rows: int = 5) -> DataFrame:
