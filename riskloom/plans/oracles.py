@@ -473,18 +473,19 @@ FROM (SELECT *, least(CAST(k AS DOUBLE) / 200, CAST(0.2 AS DOUBLE)) AS a FROM sc
 # ------------------------------------------------------------------ drift
 cte("sides", ["tx"], """SELECT tx_id, CASE WHEN i >= st THEN 'current' WHEN i >= st - (n - st) THEN 'reference' END AS side FROM
  (SELECT *, floor(n * (CAST(0.6 AS DOUBLE) + CAST(0.15 AS DOUBLE))) AS st FROM (SELECT tx_id, row_number() OVER (ORDER BY us, tx_id) - 1 AS i, count(*) OVER () AS n FROM tx))""")
-cte("long", ["matrix", "sides"], f"""UNPIVOT (SELECT side, {', '.join(r(f, f, 4) for f in FEATURES)} FROM matrix JOIN sides USING (tx_id) WHERE side IS NOT NULL)
- ON {', '.join(FEATURES)} INTO NAME feature VALUE value""")
-cte("psi_edges", ["long"], """SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS u,
- count(*) AS n FROM long WHERE side = 'reference' GROUP BY feature""")
-cte("psi_bins", ["long", "psi_edges"], """SELECT feature, len(list_filter(u[2:len(u) - 1], lambda x: x <= value)) AS bin, len(u) AS ne,
- CAST(count(*) FILTER (side = 'reference') AS DOUBLE) AS e, CAST(count(*) FILTER (side = 'current') AS DOUBLE) AS a
- FROM long JOIN psi_edges USING (feature) GROUP BY ALL""")
-cte("psi_values", ["psi_bins"], """SELECT feature, sum(CASE WHEN ne < 3 THEN 0 ELSE (am - em) * ln(am / em) END) AS psi FROM
- (SELECT feature, ne, greatest(e / sum(e) OVER (PARTITION BY feature), CAST(0.0001 AS DOUBLE)) AS em,
-  greatest(a / sum(a) OVER (PARTITION BY feature), CAST(0.0001 AS DOUBLE)) AS am FROM psi_bins) GROUP BY feature""")
+# features are numbered here and named at the end
+cte("sided", ["matrix", "sides"], f"SELECT side, {rs(FEATURES, 4)} FROM matrix JOIN sides USING (tx_id) WHERE side IS NOT NULL")
+cte("long", ["sided"], " UNION ALL ".join(f"SELECT CASE side WHEN 'reference' THEN 1 ELSE 0 END AS ref, {i} AS fno, {f} AS value FROM sided" for i, f in enumerate(FEATURES, 1)))
+cte("psi_edges", ["long"], """SELECT fno, list_sort(list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS u,
+ count(*) AS n FROM long WHERE ref = 1 GROUP BY fno""")
+cte("psi_bins", ["long", "psi_edges"], """SELECT fno, len(list_filter(u[2:len(u) - 1], lambda x: x <= value)) AS bin, len(u) AS ne,
+ CAST(count(*) FILTER (ref = 1) AS DOUBLE) AS e, CAST(count(*) FILTER (ref = 0) AS DOUBLE) AS a
+ FROM long JOIN psi_edges USING (fno) GROUP BY ALL""")
+cte("psi_values", ["psi_bins"], """SELECT fno, sum(CASE WHEN ne < 3 THEN 0 ELSE (am - em) * ln(am / em) END) AS psi FROM
+ (SELECT fno, ne, greatest(e / sum(e) OVER (PARTITION BY fno), CAST(0.0001 AS DOUBLE)) AS em,
+  greatest(a / sum(a) OVER (PARTITION BY fno), CAST(0.0001 AS DOUBLE)) AS am FROM psi_bins) GROUP BY fno""")
 cte("psi_rows", ["psi_values"], f"""SELECT feature, psi, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS verdict,
- feature IN ({', '.join(repr(f) for f in ACCUMULATING)}) AS accumulating FROM psi_values""")
+ feature IN ({', '.join(repr(f) for f in ACCUMULATING)}) AS accumulating FROM (SELECT [{', '.join(repr(f) for f in FEATURES)}][fno] AS feature, psi FROM psi_values)""")
 oracle("psi", f"SELECT feature, {r('psi', 'psi', 4)}, verdict, accumulating FROM psi_rows", "psi_rows")
 cte("weekly", ["scored"], """SELECT CAST(CAST(ts AS DATE) + CAST(7 - isodow(ts) AS INT) AS VARCHAR) AS period, count(*) AS count, avg(p_fraud) AS predicted, avg(is_fraud) AS actual
  FROM scored GROUP BY 1 HAVING count(*) >= 200""")
