@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import scan
 from riskloom.sources.transactions import normalise
 
 HUB_KINDS = {"device": "device_id", "ip": "ip"}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.storage import ensure_checkpoint_dir
 from riskloom.operators import anomaly, cost
-from riskloom.sources.schema import ACTIONS, FEATURES, SCHEMES
+from riskloom.sources.schema import FEATURES, SCHEMES
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.client_features import client_cuts
 from riskloom.operators.components import component_features
 from riskloom.operators.features import feature_frame
 from riskloom.sources import fixtures as X
@@ -112,3 +113,23 @@ def test_components_match_replay(spark, span):
     got = component_features(tx, span).toPandas()
     assert len(got) == len(want)
     assert all(want[r.tx_id] == (r.component_clients, r.component_size) for r in got.itertuples())
+
+
+def test_one_client_device_and_recipient_with_a_third_of_all_rows(spark):
+    """Only the large keys are cut, and nothing changes for anyone."""
+    sf = "/root/testdata/sf0.001"
+    third = F.col("tx_id") % 3 == 0
+    tx = X.tx_events(spark, sf).withColumns({
+        "client_id": F.when(third, F.lit(7).cast("long")).otherwise(F.col("client_id")),
+        "device_id": F.when(third, "D5").otherwise(F.col("device_id")),
+        "recipient_id": F.when(F.col("tx_id") % 5 < 2, "R1").otherwise(F.col("recipient_id"))})
+    got = []
+    for rows in ("100000000", "40"):
+        spark.conf.set("spark.riskloom.chunkRows", rows)
+        cuts = client_cuts(tx)
+        assert (cuts.table is None) == (rows != "40")
+        d = feature_frame(tx, X.profiles(spark, sf), X.places(spark, sf), components=False)
+        got.append(d.select("tx_id", *[f for f in FEATURES if not f.startswith("component")]).toPandas().set_index("tx_id").sort_index())
+    spark.conf.unset("spark.riskloom.chunkRows")
+    assert 7 in [r.client_id for r in cuts.table.collect()]
+    pd.testing.assert_frame_equal(got[0], got[1], check_dtype=False)
