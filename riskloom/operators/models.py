@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.storage import ensure_checkpoint_dir
+from riskloom.functions.storage import shared_dir
 from riskloom.operators import anomaly, cost
 from riskloom.sources.schema import FEATURES, SCHEMES
 
@@ -44,7 +44,7 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_fraud_model(df: DataFrame, features: list[str], cfg: Config, label: str = "is_fraud") -> GBTClassificationModel:
     """Boosted trees on the rows of split = train, stopped on those of split = valid."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     d = assembled(df.where(F.col("split").isin("train", "valid")), features).select(
         "_vector", F.col(label).cast("double").alias("_label"), (F.col("split") == "valid").alias("_valid"))
     return GBTClassifier(

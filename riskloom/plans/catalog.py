@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import scan
 from riskloom.functions.economics import Economics
 from riskloom.functions.rounding import half_up
-from riskloom.functions.storage import ensure_checkpoint_dir, saved
+from riskloom.functions.storage import new_path, saved
 from riskloom.operators import client_summary as cs
 from riskloom.operators import (anomaly, cost, counterfactual, dashboard, drift, experiments, explain, graph,
                                 metrics, models, policies, replay)
@@ -112,8 +111,7 @@ def event_order(spark, sf):
 @query
 def scored_table(spark, sf):
     """Scored table written by day and read back."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scored-{uuid.uuid4().hex}"
+    path = new_path(spark, "scored")
     TX.write_by_day(_decided(spark, sf).select("tx_id", "timestamp", "p_fraud", "action", "chosen_cost"), path)
     back = spark.read.parquet(path)
     return rounded(back.select("tx_id", F.col("day").cast("string").alias("day"), "p_fraud", "action", "chosen_cost"))
@@ -691,8 +689,7 @@ def model_scored(spark, sf):
 @query
 def model_reloaded(spark, sf):
     """The chain after storing the model and reading it back."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/bundle-{uuid.uuid4().hex}"
+    path = new_path(spark, "bundle")
     _model(spark, sf).save(path)
     d = models.RiskModel.load(spark, path).decide(stored_features(spark, sf).where("split = 'test'"))
     return d.select("tx_id", "p_fraud", "action")
