@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.storage import stored
-from riskloom.llm.text import WordHashes, mixed, odd_numbers, words_of
+from riskloom.llm.text import mixed, odd_numbers, word_hashes
 
 FILTER_BITS = 1 << 28
 PROBES = 4
@@ -41,18 +41,13 @@ MAX_SEGMENTS = 1 << 14
 PAIR_WEIGHT = 0.4
 ADDED = 0.1
 LEVELS = 50
-END = b"\n"  # no word contains it
+END = np.uint64(0xE0F)  # hash of the end token
 
 
-def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of all texts one after the other, number of tokens of each)."""
-    out, sizes = [], []
-    for t in texts:
-        w = words_of(t)
-        w.append(END)
-        out.append(hashes.of(w))
-        sizes.append(len(w))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
+    out = [np.append(word_hashes(t), END) for t in texts]
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array([len(x) for x in out], np.int64)
 
 
 def pairs(token: np.ndarray, end: np.uint64) -> np.ndarray:
@@ -85,18 +80,17 @@ def counted(docs: DataFrame, text: str, segments: int) -> DataFrame:
             pa.array([pc[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary())], names=["segment", "tokens", "n_tokens", "pairs", "n_pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, waiting, held = WordHashes(), [], 0
-        end = np.uint64(hashes[END])
+        waiting, held = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                token, _ = tokens(batch.column(0).slice(i, 1000).to_pylist(), hashes)
+                token, _ = tokens(batch.column(0).slice(i, 1000).to_pylist())
                 waiting.append(token)
                 held += len(token)
                 if held > CHUNK:
-                    yield emit(np.concatenate(waiting), end)
+                    yield emit(np.concatenate(waiting), END)
                     waiting, held = [], 0
         if held:
-            yield emit(np.concatenate(waiting), end)
+            yield emit(np.concatenate(waiting), END)
 
     return docs.select(text).mapInArrow(run, "segment int, tokens binary, n_tokens binary, pairs binary, n_pairs binary")
 
@@ -243,14 +237,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, (head, head_counts) = shared.value
-        hashes = WordHashes()
-        end = np.uint64(hashes[END])
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
-                token, sizes = tokens(b.column(2).to_pylist(), hashes)
+                token, sizes = tokens(b.column(2).to_pylist())
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                score = np.add.reduceat(lm.log10(token, end), starts)
+                score = np.add.reduceat(lm.log10(token, END), starts)
                 at = np.searchsorted(head, token).clip(max=max(0, len(head) - 1))
                 known = head[at] == token if len(head) else np.zeros(len(token), bool)
                 c = np.where(known, head_counts[at], 0) if len(head) else np.zeros(len(token), np.int64)

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.storage import stored
 from riskloom.llm.links import components
-from riskloom.llm.text import WordHashes, grams, mixed, odd_numbers, words_of
+from riskloom.llm.text import grams, odd_numbers, word_hashes
 
 SHINGLE = 5
 COORDINATES = 64
@@ -42,15 +42,14 @@ MATCHES = 28
 PERCENT = 75
 STARS = 2
 BROADCAST_IDS = 500_000  # more candidate ids than this are joined by a shuffle
-SLICE = 4096
+SLICE = 1024
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, one without words none."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     return np.unique(grams(h, SHINGLE)) if len(h) >= SHINGLE else grams(h, len(h), seed=SHINGLE * 100 + len(h))
 
 
@@ -59,10 +58,10 @@ class RecentSets(dict):
 
     def __init__(self, limit: int = 4_000_000):
         super().__init__()
-        self.hashes, self.limit, self.held = WordHashes(), limit, 0
+        self.limit, self.held = limit, 0
 
     def __missing__(self, text: str) -> np.ndarray:
-        found = shingle_set(text, self.hashes)
+        found = shingle_set(text)
         if self.held > self.limit:
             self.clear()
             self.held = 0
@@ -73,14 +72,12 @@ class RecentSets(dict):
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One key per coordinate: the coordinate in the upper half, its least hash in the lower."""
-    a, b = odd_numbers(COORDINATES, 11), odd_numbers(COORDINATES, 13)
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), SLICE):
-        x = (shingles[i:i + SLICE, None] ^ a) * b
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, x.min(axis=0))
-    return (np.arange(COORDINATES, dtype=np.int64) << 32) | (least >> np.uint64(32)).astype(np.int64)
+    a, b = (odd_numbers(COORDINATES, seed).astype(np.uint32) for seed in (11, 13))
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), SLICE):
+        least = np.minimum(least, ((x[i:i + SLICE, None] ^ a) * (b | np.uint32(1))).min(axis=0))
+    return (np.arange(COORDINATES, dtype=np.int64) << 32) | least.astype(np.int64)
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,11 +86,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                            T.StructField("set_hash", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             n, same, keys = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingle_set(text, hashes)
+                s = shingle_set(text)
                 n.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s) if len(s) else None)
@@ -162,10 +158,9 @@ def _star(posts: DataFrame) -> DataFrame:
 def shingles(texts: DataFrame) -> DataFrame:
     """(id, g): one row per distinct shingle of each text; ``texts`` is (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
-                g = shingle_set(text, hashes).view(np.int64)
+                g = shingle_set(text).view(np.int64)
                 at = pa.array(np.full(len(g), i), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(g)], names=["id", "g"])
 
@@ -199,8 +194,9 @@ def _rest(docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives that give the right components; ``docs`` is (id, text)."""
     posts = stored(postings(reps), "posts")
-    near = reps.join(_few(posts.select("id").distinct()), "id", "left_semi")
-    near = stored(near.join(docs, "id").select("id", "n_shingles", "keys", "text"), "near")
+    ids = _few(stored(posts.select("id").distinct(), "ids"))
+    near = reps.join(ids, "id", "left_semi").join(docs.join(ids, "id", "left_semi"), "id")
+    near = stored(near.select("id", "n_shingles", "keys", "text"), "near")
     links = done = None
     for turn in range(STARS + 1):
         if links is None:
