@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     n = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = d.select(F.col("id").cast("double").alias("x")).where("x IS NOT NULL")
     bounds = sorted(set(ids.approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n)))
-    splits = [float("-inf"), *bounds, float("inf")]
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     d = (Bucketizer(splits=splits, inputCol="x", outputCol="range", handleInvalid="keep").transform(d.withColumn("x", F.col("id").cast("double")))
          .withColumn("range", F.when(F.col("x").isNull(), -1).otherwise(F.col("range").cast("int"))).drop("x")
          .withColumn("tag", F.xxhash64("text")))

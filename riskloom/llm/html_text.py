@@ -37,6 +37,7 @@ BESIDE = re.compile(
     r"side-?bar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|site-header|page-header|masthead|comments?|commentlist|disqus|replies|"
     r"share|sharing|social|related|recommended|recommendations|copyright|disclaimer|toolbar|pagination|pager|skip-link|contentinfo|complementary|search)"
     r"(?:$|[\s_-])", re.I)
+LEAST_BASE = math.e ** math.e  # the logarithm's base is e where nothing is linked
 SPACE = re.compile(r"\s+")
 
 
@@ -141,9 +142,9 @@ def densities(t: Tree) -> tuple[list[float], list[float]]:
         if t.dropped[i] or not chars[i]:
             continue
         plain = max(1, chars[i] - link_chars[i])
-        base = math.log(chars[i] * link_chars[i] / plain + linked_share * chars[i] + math.e)
+        base = math.log(chars[i] * link_chars[i] / plain + linked_share * chars[i] + LEAST_BASE)
         value = chars[i] / max(1, link_chars[i]) * max(1, tags[i]) / max(1, link_tags[i])
-        density[i] = chars[i] / max(1, tags[i]) * math.log(max(value, 1.0) + 1e-9) / max(math.log(base), 1e-9) if base > 1.0 else 0.0
+        density[i] = chars[i] / max(1, tags[i]) * math.log(value + 1.0) / math.log(base)
         total[i] += float(t.own[i])  # text of its own counts as a child with one tag
         if i:
             total[t.parent[i]] += density[i]
