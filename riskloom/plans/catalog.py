@@ -736,7 +736,7 @@ def model_counterfactuals(spark, sf):
     home = X.places(spark, sf).select(F.col("city").alias("home_city"), F.col("country").alias("home_country"))
     d = _model(spark, sf).decide(frame).withColumn("device_known", F.col("h_n_device") > 0)
     d = d.drop(*[c for c in d.columns if c.startswith("cost_")]).join(usual, "client_id", "left").join(home, "home_city", "left")
-    scorer = counterfactual.model_scorer(st, _model(spark, sf), X.places(spark, sf))
+    scorer = counterfactual.model_scorer(frame, _model(spark, sf), X.places(spark, sf))
     return counterfactual.find_counterfactuals(d, scorer).select(*[c for c in CHANGE if c != "tx_id"], "tx_id", "rank", "text", "note")
 
 

@@ -99,11 +99,16 @@ def with_profile(df: DataFrame, profiles: DataFrame, on: list[str] | None = None
     )
 
 
+BROADCAST_PLACES = 200_000
+
+
 def with_place(df: DataFrame, places: DataFrame, city: str = "city", lat: str = "lat",
                lon: str = "lon", country: str | None = None) -> DataFrame:
     """Coordinates of a city; an unknown one falls to the centre of the country."""
     dim = places.select(F.col("city").alias(city), F.col("lat").alias(lat), F.col("lon").alias(lon),
                         F.col("country").alias(country or "_country"))
+    if places.count() <= BROADCAST_PLACES:  # one market holds most rows: no exchange by city
+        dim = F.broadcast(dim)
     out = df.join(dim, city, "left")
     filled = {lat: F.coalesce(lat, F.lit(S.UNKNOWN_PLACE[0])),
               lon: F.coalesce(lon, F.lit(S.UNKNOWN_PLACE[1]))}

@@ -133,3 +133,13 @@ def test_one_client_device_and_recipient_with_a_third_of_all_rows(spark):
     spark.conf.unset("spark.riskloom.chunkRows")
     assert 7 in [r.client_id for r in cuts.table.collect()]
     pd.testing.assert_frame_equal(got[0], got[1], check_dtype=False)
+
+
+def test_places_are_not_exchanged_by_city(spark, capsys):
+    """The built-in places are broadcast, whatever one city holds of the rows."""
+    from riskloom.sources import schema, transactions
+
+    df = spark.range(10).selectExpr("id", "concat('Almaty', id % 2) AS city")
+    transactions.with_place(df, schema.places(spark)).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(city" not in plan

@@ -166,3 +166,16 @@ def test_realised_cost_of_columns(spark):
     d = spark.createDataFrame([("hold", 1, "social_eng", 1000.0, "transfer")], "a string, is_fraud int, fraud_type string, amount double, tx_type string")
     want = (1 - 0.8) * (1000 * 0.92 + 5000) + 1500
     assert d.select(cost.realised_cost(F.col("a"), avg=None, count=None)).first()[0] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("rows", [50, 63, 64, 65, 3000])
+def test_tree_samples_follow_one_rule(spark, rows):
+    """Every tree gets exactly its sample from tables smaller and larger than it, and reruns draw the same rows."""
+    from riskloom.operators import anomaly
+
+    df = spark.range(rows).select(F.col("id").alias("tx_id"), *[F.col("id").cast("double").alias(c) for c in anomaly.ANOMALY_FEATURES])
+    drawn, size = anomaly.tree_samples(df, 5, 64, 1)
+    got = sorted((r.tree, r.tx_id) for r in drawn.select("tree", "tx_id").collect())
+    assert size == min(64, rows) and [sum(t == k for t, _ in got) for k in range(5)] == [size] * 5
+    again, _ = anomaly.tree_samples(df.repartition(3), 5, 64, 1)
+    assert got == sorted((r.tree, r.tx_id) for r in again.select("tree", "tx_id").collect())
