@@ -40,7 +40,7 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 28
 PERCENT = 75
-STARS = 2
+STARS = 1
 BROADCAST_IDS = 500_000  # more candidate ids than this are joined by a shuffle
 SLICE = 1024
 
