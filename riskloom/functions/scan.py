@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.storage import stored
+
 DEFAULT_CHUNK_ROWS = 2_000_000
 MIN_CUTS = 3
 BROADCAST_ROWS = 200_000  # above this many cuts the small side is joined by shuffle
@@ -121,8 +123,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], *, sums: dict[str,
 
 def global_index(df: DataFrame, order: list[str], name: str = "row_index",
                  rows: int | None = None) -> DataFrame:
-    """Position of every row in the total order, from 0, without a single-task sort."""
-    rows = rows or max(1, chunk_rows(df.sparkSession) // 8)
-    d = df.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
-    cuts = find_cuts(d, ["_all"], order, rows, 1)
-    return running(d, ["_all"], order, sums={name: "_one"}, cuts=cuts).drop("_all", "_one")
+    """Position of every row in the total order, from 0, without a single-task sort.
+
+    Rows are dealt by range, numbered within their part and stored, so that a retry cannot move a boundary;
+    the rows of the parts before are added from a table of one row per part. There are as many parts as
+    shuffle partitions, or as it takes for about ``rows`` rows each."""
+    parts = [] if rows is None else [max(1, -(-df.count() // rows))]
+    dealt = df.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
+    # the upper bits of this number are the part, the lower 33 the place in it
+    d = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    d = d.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return d.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
