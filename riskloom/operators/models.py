@@ -186,9 +186,9 @@ def fit(df: DataFrame, cfg: Config = Config(), features: list[str] | None = None
     return model
 
 
-def fit_fusion(valid: DataFrame, cap: float, label: str = "is_fraud"):
-    """Anomaly score to probability, then the fused value back to a probability."""
-    a = fit_isotonic(valid, "anomaly_score", label)
+def fit_fusion(valid: DataFrame, cap: float, label: str = "is_fraud", a: IsotonicRegressionModel | None = None):
+    """Anomaly score to probability (``a`` if it is known), then the fused value back to a probability."""
+    a = a or fit_isotonic(valid, "anomaly_score", label)
     d = apply_isotonic(valid, a, "anomaly_score", "p_anomaly", cap)
     d = d.withColumn("_fused", anomaly.noisy_or(F.col("p_supervised"), F.col("p_anomaly")))
     return a, fit_isotonic(d, "_fused", label)

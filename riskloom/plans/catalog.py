@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import scan
 from riskloom.functions.economics import Economics
 from riskloom.functions.rounding import half_up
-from riskloom.functions.storage import new_path, saved
+from riskloom.functions.storage import new_path, saved, stored
 from riskloom.operators import client_summary as cs
 from riskloom.operators import (anomaly, cost, counterfactual, dashboard, drift, experiments, explain, graph,
                                 metrics, models, policies, replay)
@@ -650,9 +650,7 @@ def gate_reasons(spark, sf):
 
 # ---------------------------------------------------------------- models (rows only)
 
-# smaller learners than the defaults, so that a check of all queries stays short
-SHORT = models.Config(rounds=20, step=0.1, type_trees=20)
-SHORT_SEEDS = [0, 1]
+CONFIG = models.Config()
 _STORED: dict[tuple[str, str], DataFrame] = {}
 KEEP = ["client_id", "amount", "tx_type", "is_fraud", "fraud_type", "us"]
 
@@ -664,7 +662,7 @@ def stored_features(spark, sf):
         order = scan.global_index(X.tx_events(spark, sf).select("tx_id", "us"), ["us", "tx_id"])
         split = metrics.time_split(order).select("tx_id", "row_index", "split")
         m = feature_matrix(X.tx_events(spark, sf), X.profiles(spark, sf), X.places(spark, sf), KEEP)
-        _STORED[at] = saved(m.join(split, "tx_id"))
+        _STORED[at] = stored(m.join(split, "tx_id"), "features")
     return _STORED[at]
 
 
@@ -674,7 +672,7 @@ _MODELS: dict[tuple[str, str], models.RiskModel] = {}
 def _model(spark, sf):
     at = (spark.sparkContext.applicationId, sf)
     if at not in _MODELS:
-        _MODELS[at] = models.fit(stored_features(spark, sf), SHORT)
+        _MODELS[at] = models.fit(stored_features(spark, sf), CONFIG)
     return _MODELS[at]
 
 
@@ -742,19 +740,19 @@ def model_counterfactuals(spark, sf):
 
 @query
 def ablation(spark, sf):
-    return experiments.ablation(stored_features(spark, sf), SHORT)
+    return experiments.ablation(stored_features(spark, sf), CONFIG)
 
 
 @query
 def cap_sweep(spark, sf):
-    return experiments.cap_sweep(stored_features(spark, sf), SHORT, seeds=SHORT_SEEDS)
+    return experiments.cap_sweep(stored_features(spark, sf), CONFIG)
 
 
 @query
 def hidden_scheme(spark, sf):
-    return experiments.hidden_scheme(stored_features(spark, sf), SHORT, seeds=SHORT_SEEDS)
+    return experiments.hidden_scheme(stored_features(spark, sf), CONFIG)
 
 
 @query
 def walkforward_models(spark, sf):
-    return metrics.fold_metrics(experiments.walk_forward(stored_features(spark, sf), SHORT))
+    return metrics.fold_metrics(experiments.walk_forward(stored_features(spark, sf), CONFIG))
