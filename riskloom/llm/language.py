@@ -125,7 +125,7 @@ class LanguageFilter:
         fair = np.maximum(0, (counts - n[:, None] * self.wrong) / (1 - self.wrong)) if len(self.languages) else counts
         names, scores = [], []
         for i, t in enumerate(ready):
-            if not self.languages or not t.strip():
+            if not self.languages or not any(map(str.isalpha, t)):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -35,7 +35,8 @@ FILTER_BITS = 1 << 28
 PROBES = 4
 LOAD = 0.45  # share of set bits that filling aims at
 HEAD = 1 << 20
-CHUNK = 3_000_000  # tokens counted at once in a task
+CHUNK = 1_000_000  # tokens counted at once in a task
+BATCH_SEGMENTS = 16  # segments in one Arrow batch of partial counts
 SEGMENT_CHARS = 4_000_000  # characters of training text per segment
 MAX_SEGMENTS = 1 << 14
 PAIR_WEIGHT = 0.4
@@ -62,7 +63,7 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
 
 def counted(docs: DataFrame, text: str, segments: int) -> DataFrame:
     """(segment, tokens, n_tokens, pairs, n_pairs): partial counts of every task, sorted by hash. Pairs keep 40 bits of their hash within the segment."""
-    def emit(token: np.ndarray, end: np.uint64) -> pa.RecordBatch:
+    def emit(token: np.ndarray, end: np.uint64) -> Iterator[pa.RecordBatch]:
         columns = []
         for h in (token, pairs(token, end)):
             u, c = np.unique(h, return_counts=True)
@@ -72,12 +73,13 @@ def counted(docs: DataFrame, text: str, segments: int) -> DataFrame:
         (u, c, e), (p, pc, pe) = columns
         low = (p >> shift) & np.uint64((1 << 40) - 1)
         upper, lower = (low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32)
-        rows = range(segments)
-        return pa.RecordBatch.from_arrays([
-            pa.array(rows, pa.int32()),
-            pa.array([u[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([c[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()),
-            pa.array([upper[pe[i]:pe[i + 1]].tobytes() + lower[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary()),
-            pa.array([pc[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary())], names=["segment", "tokens", "n_tokens", "pairs", "n_pairs"])
+        for first in range(0, segments, BATCH_SEGMENTS):
+            rows = range(first, min(first + BATCH_SEGMENTS, segments))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows, pa.int32()),
+                pa.array([u[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([c[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()),
+                pa.array([upper[pe[i]:pe[i + 1]].tobytes() + lower[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary()),
+                pa.array([pc[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary())], names=["segment", "tokens", "n_tokens", "pairs", "n_pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -87,10 +89,10 @@ def counted(docs: DataFrame, text: str, segments: int) -> DataFrame:
                 waiting.append(token)
                 held += len(token)
                 if held > CHUNK:
-                    yield emit(np.concatenate(waiting), END)
+                    yield from emit(np.concatenate(waiting), END)
                     waiting, held = [], 0
         if held:
-            yield emit(np.concatenate(waiting), END)
+            yield from emit(np.concatenate(waiting), END)
 
     return docs.select(text).mapInArrow(run, "segment int, tokens binary, n_tokens binary, pairs binary, n_pairs binary")
 
