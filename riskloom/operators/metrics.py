@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scan
 from riskloom.functions.quantiles import quantiles
-from riskloom.functions.storage import saved
+from riskloom.functions.storage import saved, stored
 from riskloom.sources.schema import SCHEMES
 
 TRAIN_SHARE, VALID_SHARE = 0.60, 0.15
 FIRST_TRAIN, FOLD_VALID, FOLDS = 0.40, 0.10, 4
+STEPS = 4096
 
 
 def _with_total(df: DataFrame) -> DataFrame:
@@ -26,10 +27,29 @@ def _part(n: Column, share) -> Column:
 
 def positions(df: DataFrame, at: dict[str, Column], order: list[str] | None = None) -> DataFrame:
     """One row with the order values of the rows at given indexes (expressions of the row count
-    ``n``); null past the end. Only the order columns are shuffled."""
+    ``n``); null past the end.
+
+    Rows are counted in equal steps of the first order column, and only the steps that hold a wanted row
+    are ranked."""
     order = order or ["us", "tx_id"]
-    idx = _with_total(scan.global_index(df.select(*order), order)).withColumn("n", F.col("_total"))
-    return idx.agg(*[F.max(F.when(F.col("row_index") == pos, F.struct(*order))).alias(name) for name, pos in at.items()])
+    d = stored(df.select(*order), "order")
+    t = F.col(order[0]).cast("double")
+    lo, hi, n = d.agg(F.min(t), F.max(t), F.count("*")).first()
+    wanted = df.sparkSession.range(1).select(F.lit(n).alias("n")).select(
+        *[pos.cast("long").alias(name) for name, pos in at.items()]).first().asDict()
+    step = F.floor((t - lo) / (hi - lo) * STEPS) if n and hi > lo else F.lit(0).cast("long")
+    sizes = {r["step"]: r["count"] for r in d.groupBy(step.alias("step")).count().collect()}  # STEPS + 1 rows at most
+    index, earlier, held = {}, 0, 0  # index: place of each wanted row among the ranked ones
+    ranked = []
+    for s in sorted(sizes):
+        inside = {name: held + pos - earlier for name, pos in wanted.items() if earlier <= pos < earlier + sizes[s]}
+        if inside:
+            index |= inside
+            ranked.append(s)
+            held += sizes[s]
+        earlier += sizes[s]
+    few = scan.global_index(d.where(step.isin(ranked)), order)
+    return few.agg(*[F.max(F.when(F.col("row_index") == F.lit(index.get(name)), F.struct(*order))).alias(name) for name in at])
 
 
 def _before(at: str, order: list[str]) -> Column:
