@@ -6,10 +6,11 @@ by probing one level after the other. A token's probability mixes the pair's sha
 pair counts are rounded down and context counts up, so probabilities of a context do not exceed 1 but for false
 positives.
 
-The filter has ``FILTER_BITS`` bits whatever the corpus holds, cut into segments by the n-gram's hash. Counting and filling work segment by segment:
-tasks pre-aggregate, one shuffle brings a segment's partial counts together, and each
-segment keeps its most frequent n-grams, down to the count that still fits. Segments grow in number with the corpus, so a segment's
-counts fit a task. The base score uses exact counts: tokens among the ``HEAD`` most frequent are
+The filter is cut into segments by the n-gram's hash; segments grow in number with the corpus, and each has as many bits as its counted
+n-grams need at ``LOAD``, so every n-gram is kept whatever the corpus holds. The filter is never in one place: texts are stored as chunks of
+tokens, tasks pre-aggregate the n-grams of each chunk, one shuffle brings the cells of a segment together, and the task that counts a segment
+fills its part of the filter and reads from it the levels of all n-grams that the chunks asked for. A second shuffle takes the levels back to the chunks.
+The base score uses exact counts: tokens among the ``HEAD`` most frequent are
 looked up in a broadcast table, the others are joined by a shuffle, so nothing depends on the vocabulary fitting in memory.
 
 Defined cases: a null text is empty and has the end token only. Without training texts all counts are 0. Repeated rows
@@ -31,13 +32,13 @@ from pyspark.sql import types as T
 from riskloom.functions.storage import stored
 from riskloom.llm.text import mixed, odd_numbers, word_hashes
 
-FILTER_BITS = 1 << 28
 PROBES = 4
 LOAD = 0.45  # share of set bits that filling aims at
 HEAD = 1 << 20
-CHUNK = 1_000_000  # tokens counted at once in a task
+CHUNK = 1_000_000  # tokens of a chunk, and its last few texts
+CHUNK_TEXTS = 100  # texts that join a chunk at once
 BATCH_SEGMENTS = 16  # segments in one Arrow batch of partial counts
-SEGMENT_CHARS = 4_000_000  # characters of training text per segment
+SEGMENT_CHARS = 4_000_000  # characters of text per segment
 MAX_SEGMENTS = 1 << 14
 PAIR_WEIGHT = 0.4
 ADDED = 0.1
@@ -61,45 +62,80 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(h), np.int64)
 
 
-def counted(docs: DataFrame, text: str, segments: int) -> DataFrame:
-    """(segment, tokens, n_tokens, pairs, n_pairs): partial counts of every task, sorted by hash. Pairs keep 40 bits of their hash within the segment."""
-    def emit(token: np.ndarray, end: np.uint64) -> Iterator[pa.RecordBatch]:
-        columns = []
-        for h in (token, pairs(token, end)):
-            u, c = np.unique(h, return_counts=True)
-            edges = np.searchsorted(segment_of(u, segments), np.arange(segments + 1))
-            columns.append((u, c.astype(np.uint32), edges))
-        shift = np.uint64(24 - (segments.bit_length() - 1))
-        (u, c, e), (p, pc, pe) = columns
-        low = (p >> shift) & np.uint64((1 << 40) - 1)
-        upper, lower = (low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32)
-        for first in range(0, segments, BATCH_SEGMENTS):
-            rows = range(first, min(first + BATCH_SEGMENTS, segments))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows, pa.int32()),
-                pa.array([u[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([c[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()),
-                pa.array([upper[pe[i]:pe[i + 1]].tobytes() + lower[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary()),
-                pa.array([pc[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary())], names=["segment", "tokens", "n_tokens", "pairs", "n_pairs"])
+def within(h: np.ndarray, segments: int) -> np.ndarray:
+    """The 40 bits of a hash that follow its segment."""
+    return (h >> np.uint64(24 - (segments.bit_length() - 1))) & np.uint64((1 << 40) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                token, _ = tokens(batch.column(0).slice(i, 1000).to_pylist())
-                waiting.append(token)
-                held += len(token)
-                if held > CHUNK:
-                    yield from emit(np.concatenate(waiting), END)
-                    waiting, held = [], 0
-        if held:
-            yield from emit(np.concatenate(waiting), END)
 
-    return docs.select(text).mapInArrow(run, "segment int, tokens binary, n_tokens binary, pairs binary, n_pairs binary")
+def chunks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(ids, held, sizes, tokens, places, chunk): the texts in chunks of about ``CHUNK`` tokens. ``tokens`` are the chunk's distinct hashes in order,
+    ``places`` says for each token which it is."""
+    kind = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+                           T.StructField("tokens", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, sizes, waiting, n = [], [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            u, where = np.unique(np.concatenate(waiting), return_inverse=True)
+            values = [pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.concatenate(sizes))]
+            rows = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+            planes = where.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # the upper bytes are mostly zeros and compress
+            return pa.RecordBatch.from_arrays([*rows, pa.array([u.tobytes()], pa.binary()), pa.array([planes], pa.binary())], names=schema.names)
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, CHUNK_TEXTS):
+                b = batch.slice(i, CHUNK_TEXTS)
+                token, size = tokens(b.column(2).to_pylist())
+                for has, new in ((ids, b.column(0)), (held, b.column(1)), (sizes, size), (waiting, token)):
+                    has.append(new)
+                n += len(token)
+                if n > CHUNK:
+                    yield chunk()
+                    ids, held, sizes, waiting, n = [], [], [], [], 0
+        if n:
+            yield chunk()
+
+    held_out = F.coalesce(remainder(doc_id, 10) == 0, F.lit(False)).alias("held_out")
+    return stored(docs.select(doc_id, held_out, text).mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def unpacked(token: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, which of them each token is) of a stored chunk."""
+    return np.frombuffer(token, np.uint64), np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def counted(chunks: DataFrame, segments: int) -> DataFrame:
+    """(segment, chunk, tokens, n_tokens, pairs, n_pairs): the distinct n-grams of every chunk, sorted by hash, and how often its training texts have
+    each; n-grams of held-out texts only have 0. Pairs keep 40 bits of their hash within the segment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held, sizes, t, places in zip(*(batch.column(i) for i in range(5))):
+                u, where = unpacked(t.as_buffer(), places.as_buffer())
+                seen = np.repeat(~held.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy())
+                c = np.bincount(where[seen], minlength=len(u)).astype(np.uint32)
+                p, which = np.unique(pairs(u[where], END), return_inverse=True)
+                pc = np.bincount(which[seen], minlength=len(p)).astype(np.uint32)
+                e, pe = (np.searchsorted(segment_of(h, segments), np.arange(segments + 1)) for h in (u, p))
+                low = within(p, segments)
+                upper, lower = (low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32)
+                for first in range(0, segments, BATCH_SEGMENTS):
+                    rows = range(first, min(first + BATCH_SEGMENTS, segments))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(rows, pa.int32()), pa.array([chunk.as_py()] * len(rows), pa.int64()),
+                        pa.array([u[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([c[e[i]:e[i + 1]].tobytes() for i in rows], pa.binary()),
+                        pa.array([upper[pe[i]:pe[i + 1]].tobytes() + lower[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary()),
+                        pa.array([pc[pe[i]:pe[i + 1]].tobytes() for i in rows], pa.binary())], names=["segment", "chunk", "tokens", "n_tokens", "pairs", "n_pairs"])
+
+    return (chunks.select("chunk", "held", "sizes", "tokens", "places")
+            .mapInArrow(run, "segment int, chunk long, tokens binary, n_tokens binary, pairs binary, n_pairs binary"))
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their counts, which of them each key is)."""
     u, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(where, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    return u, np.bincount(where, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64), where
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -111,20 +147,16 @@ def _spots(key: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
     return (mixed(key ^ salt) >> np.uint64(20)).astype(np.int64) % bits
 
 
-def within(h: np.ndarray, segments: int) -> np.ndarray:
-    """The 40 bits of a hash that follow its segment."""
-    return (h >> np.uint64(24 - (segments.bit_length() - 1))) & np.uint64((1 << 40) - 1)
+def bits_for(counts: np.ndarray) -> int:
+    """Bits that hold all levels of n-grams with these counts at the aimed load."""
+    units = int(level_of(counts).sum()) if len(counts) else 0
+    return 64 * (1 + math.ceil(-units * PROBES / math.log(1 - LOAD) / 64))
 
 
 def filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """One segment: the most frequent n-grams that fit at the aimed load."""
-    room = -bits * math.log(1 - LOAD) / PROBES
-    levels = level_of(counts)
-    size = np.bincount(counts.clip(max=1 << 16), weights=levels) if len(counts) else np.zeros(1)
-    fits = np.flatnonzero(np.cumsum(size[::-1])[::-1] <= room)
-    keep = counts >= (fits[0] if len(fits) else (1 << 16) + 1)
+    """One segment with every n-gram."""
     spots = np.zeros(bits, bool)
-    keys, levels = keys[keep], levels[keep]
+    levels = level_of(counts) if len(counts) else np.zeros(0, np.int64)
     for level in range(1, int(levels.max(initial=0)) + 1):
         at = keys[levels >= level]
         for probe in range(PROBES):
@@ -139,42 +171,35 @@ def single(keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The filter and what smoothing needs."""
+    """One segment of the filter; how many training tokens it has, and how many distinct ones."""
 
     filter: np.ndarray
-    segments: int
+    segment: int
     total: int
     distinct: int
 
-    @property
-    def denominator(self) -> float:
-        return self.total + ADDED * (self.distinct + 1)
-
-    def levels(self, h: np.ndarray, one: bool) -> np.ndarray:
-        """Level of each n-gram, 0 if it is not in the filter."""
-        bits = FILTER_BITS // self.segments
-        base, key = segment_of(h, self.segments) * bits, within(h, self.segments)
-        key = single(key) if one else key
-        out, alive = np.zeros(len(h), np.int64), np.arange(len(h))
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, given by its bits within the segment; 0 if it is not in the filter."""
+        bits = 8 * len(self.filter)
+        out, alive = np.zeros(len(key), np.int64), np.arange(len(key))
         for level in range(1, LEVELS):
             for probe in range(PROBES):
-                at = base[alive] + _spots(key[alive], level, probe, bits)
+                at = _spots(key[alive], level, probe, bits)
                 alive = alive[(self.filter[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             if not len(alive):
                 break
             out[alive] = level
         return out
 
-    def log10(self, token: np.ndarray, end: np.uint64) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        u, where = np.unique(token, return_inverse=True)
-        one = self.levels(u, True)
-        share = (np.where(one > 0, 2.0 ** (one - 1), 0.0) + ADDED) / self.denominator
-        before = np.concatenate([[np.searchsorted(u, end)], where[:-1]])  # every batch has ends
-        both = self.levels(pairs(token, end), False)
-        context = one[before]
-        follows = np.where((both > 0) & (context > 0), np.minimum(1.0, 2.0 ** (both - 1.0 - context)), 0.0)
-        return np.log10(PAIR_WEIGHT * follows + (1 - PAIR_WEIGHT) * share[where])
+
+def log10(u: np.ndarray, where: np.ndarray, one: np.ndarray, two: np.ndarray, denominator: float) -> np.ndarray:
+    """log10 probability of each token of a chunk after the one before it, from the levels of its distinct tokens and pairs."""
+    share = (np.where(one > 0, 2.0 ** (one - 1.0), 0.0) + ADDED) / denominator
+    before = np.concatenate([[np.searchsorted(u, END)], where[:-1]])  # every chunk has ends
+    both = two[np.unique(pairs(u[where], END), return_inverse=True)[1]]
+    context = one[before]
+    follows = np.where((both > 0) & (context > 0), np.minimum(1.0, 2.0 ** (both - 1.0 - context)), 0.0)
+    return np.log10(PAIR_WEIGHT * follows + (1 - PAIR_WEIGHT) * share[where])
 
 
 def segments_for(chars: int) -> int:
@@ -182,32 +207,38 @@ def segments_for(chars: int) -> int:
     return min(MAX_SEGMENTS, max(16, 1 << (wanted - 1).bit_length()))
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """(model, exact token counts (h, c))."""
-    segments = segments_for(docs.agg(F.sum(F.length(text))).first()[0] or 0)
-    bits = FILTER_BITS // segments
+def learned(segment: int, segments: int, tokens: list[np.ndarray], n_tokens: list[np.ndarray], pairs: list[np.ndarray], n_pairs: list[np.ndarray]) -> tuple[Model, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(the segment's model, its exact token counts, the level of each given token, that of each given pair)."""
+    (u, c, at), (p, m, p_at) = merged(tokens, n_tokens), merged(pairs, n_pairs)
+    seen, key = c > 0, np.concatenate([single(within(u, segments)), p])
+    count = np.concatenate([c, m])
+    known = count[count > 0]
+    model = Model(np.frombuffer(filled(key[count > 0], known, bits_for(known)), np.uint8), segment, int(c.sum()), int(seen.sum()))
+    levels = model.levels(key).astype(np.uint8)
+    return model, (u[seen], c[seen]), levels[:len(u)][at], levels[len(u):][p_at]
+
 
+def train(chunks: DataFrame, segments: int) -> DataFrame:
+    """Per segment a row (segment, total, distinct, h, c) with the exact token counts; per segment and chunk a row (segment, chunk, one, two) with the levels that
+    the filter holds of the chunk's tokens and pairs, sorted by hash."""
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts, low, n_low = [], [], [], []
+        columns = [[], [], [], []]
         for t, n, p, m in zip(*(table[c].to_pylist() for c in ("tokens", "n_tokens", "pairs", "n_pairs"))):
-            keys.append(np.frombuffer(t, np.uint64))
-            counts.append(np.frombuffer(n, np.uint32))
             k = len(m) // 4
-            low.append((np.frombuffer(p[:k], np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(p[k:], np.uint32))
-            n_low.append(np.frombuffer(m, np.uint32))
-        (u, c), (p, m) = merged(keys, counts), merged(low, n_low)
-        made = filled(np.concatenate([single(within(u, segments)), p]), np.concatenate([c, m]), bits)
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([made], pa.binary()),
-                         "h": pa.array([u.view(np.int64)], pa.list_(pa.int64())), "c": pa.array([c], pa.list_(pa.int64()))})
-
-    made = stored(counted(docs, text, segments).groupBy("segment").applyInArrow(merge, "segment int, bits binary, h array<long>, c array<long>"), "segments")
-    counts = made.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    parts = made.select("segment", "bits").toArrow()  # FILTER_BITS in all
-    for s, b in zip(parts["segment"].to_pylist(), parts["bits"]):
-        table[s * (bits // 8):(s + 1) * (bits // 8)] = np.frombuffer(b.as_buffer(), np.uint8)
-    return Model(table, segments, int(total), int(distinct)), counts
+            low = (np.frombuffer(p[:k], np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(p[k:], np.uint32)
+            for has, new in zip(columns, (np.frombuffer(t, np.uint64), np.frombuffer(n, np.uint32), low, np.frombuffer(m, np.uint32))):
+                has.append(new)
+        segment = table["segment"][0].as_py()
+        model, (h, c), one, two = learned(segment, segments, *columns)
+        split = [[x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in own])[:-1])] for levels, own in ((one, columns[0]), (two, columns[2]))]
+        n = table.num_rows
+        return pa.table({"segment": pa.array([segment] * (n + 1), pa.int32()), "chunk": pa.array([None, *table["chunk"].to_pylist()], pa.int64()),
+                         "total": pa.array([model.total] + [None] * n, pa.int64()), "distinct": pa.array([model.distinct] + [None] * n, pa.int64()),
+                         "h": pa.array([h.view(np.int64)] + [None] * n, pa.list_(pa.int64())), "c": pa.array([c] + [None] * n, pa.list_(pa.int64())),
+                         "one": pa.array([None, *split[0]], pa.binary()), "two": pa.array([None, *split[1]], pa.binary())})
+
+    return stored(counted(chunks, segments).groupBy("segment").applyInArrow(
+        merge, "segment int, chunk long, total long, distinct long, h array<long>, c array<long>, one binary, two binary"), "segments")
 
 
 def head_of(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -230,40 +261,42 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model, counts = train(docs.where(F.coalesce(remainder(doc_id, 10) != 0, F.lit(True))), text)
-    shared = docs.sparkSession.sparkContext.broadcast((model, head_of(counts)))
+    chunks = chunks_of(docs, doc_id, text)
+    made = train(chunks, segments_for(docs.agg(F.sum(F.length(text))).first()[0] or 0))
+    counts = made.where("chunk IS NULL").select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
+    total, distinct = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    denominator = total + ADDED * (distinct + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(head_of(counts))
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")],
                            *[T.StructField(c, T.DoubleType()) for c in ("base", "score")],
                            T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, (head, head_counts) = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                token, sizes = tokens(b.column(2).to_pylist())
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                score = np.add.reduceat(lm.log10(token, END), starts)
-                at = np.searchsorted(head, token).clip(max=max(0, len(head) - 1))
-                known = head[at] == token if len(head) else np.zeros(len(token), bool)
-                c = np.where(known, head_counts[at], 0) if len(head) else np.zeros(len(token), np.int64)
-                base = np.add.reduceat(np.where(known, np.log10((c + ADDED) / lm.denominator), 0.0), starts)
-                rare = [np.unique(t[~k], return_counts=True) for t, k in zip(np.split(token, starts[1:]), np.split(known, starts[1:]))]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score),
-                     pa.array([u.view(np.int64) for u, _ in rare], pa.list_(pa.int64())), pa.array([n for _, n in rare], pa.list_(pa.int64()))],
-                    names=schema.names)
-
-    first = docs.select(doc_id, F.coalesce(remainder(doc_id, 10) == 0, F.lit(False)).alias("held_out"), text).mapInArrow(run, schema)
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        head, head_counts = shared.value
+        u, where = unpacked(chunk["tokens"][0].as_buffer(), chunk["places"][0].as_buffer())
+        answers = answers.sort_by("segment")
+        one, two = (np.frombuffer(b"".join(answers[c].to_pylist()), np.uint8).astype(np.int64) for c in ("one", "two"))
+        sizes = chunk["sizes"][0].values.to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.searchsorted(head, u).clip(max=max(0, len(head) - 1))
+        known = head[at] == u if len(head) else np.zeros(len(u), bool)
+        base = np.where(known, np.log10((head_counts[at] + ADDED) / denominator), 0.0) if len(head) else np.zeros(len(u))
+        known, token = known[where], u[where]
+        rare = [np.unique(t[~k], return_counts=True) for t, k in zip(np.split(token, starts[1:]), np.split(known, starts[1:]))]
+        return pa.table([chunk["ids"][0].values, chunk["held"][0].values, pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                         pa.array(np.add.reduceat(base[where], starts)), pa.array(np.add.reduceat(log10(u, where, one, two, denominator), starts)),
+                         pa.array([u.view(np.int64) for u, _ in rare], pa.list_(pa.int64())), pa.array([n for _, n in rare], pa.list_(pa.int64()))], names=schema.names)
+
+    first = chunks.groupBy("chunk").cogroup(made.where("chunk IS NOT NULL").select("chunk", "segment", "one", "two").groupBy("chunk")).applyInArrow(score, schema)
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = (
         first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), "x.times")
         .join(counts, "h", "left")
         .groupBy("row").agg(
-            F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + ADDED) / F.lit(model.denominator))).alias("more"),
+            F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + ADDED) / F.lit(denominator))).alias("more"),
             F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("also")))
     return (
         first.drop("rare", "times").join(rest, "row", "left")
         .select(F.col("id").alias(doc_id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-                F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"))
+                F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"))

@@ -401,3 +401,44 @@ def test_filter_keeps_levels():
 
 def test_lm_of_nothing(nothing):
     assert lm_score.scores(nothing).count() == 0
+
+
+def test_filter_drops_nothing():
+    """A segment has room for all its n-grams, those seen once included; when over-full it still keeps them."""
+    keys = lm_score.mixed(np.arange(1, 50_001, dtype=np.uint64)) & np.uint64((1 << 40) - 1)
+    counts = np.where(np.arange(50_000) % 5 == 0, 9, 1)
+    own = lm_score.bits_for(counts)
+    for bits in (own, 1 << 14):
+        assert (lm_score.Model(np.frombuffer(lm_score.filled(keys, counts, bits), np.uint8), 0, 1, 1).levels(keys) >= lm_score.level_of(counts)).all()
+    full = np.unpackbits(np.frombuffer(lm_score.filled(keys, counts, own), np.uint8)).mean()
+    assert abs(full - lm_score.LOAD) < 0.01
+    assert abs(lm_score.bits_for(np.tile(counts, 8)) - 8 * own) <= 8 * 128 and lm_score.bits_for(counts[:0]) == 64
+
+
+@pytest.mark.parametrize("chunk", [lm_score.CHUNK, 3000])
+def test_lm_scores_of_all_ngrams(spark, documents, chunk, monkeypatch):
+    """Scores against plain levels of every counted token and pair; false positives may raise few of them a little."""
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
+    level = lambda n: 1 + math.floor(math.log2(n)) if n else 0
+    rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER)) + ["\n"]) for i, t in pairs_of(documents)]
+    one, two = collections.Counter(), collections.Counter()
+    for i, ws in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            one.update(ws)
+            two.update(zip(["\n"] + ws, ws))
+    denominator = sum(one.values()) + 0.1 * (len(one) + 1)
+    far = 0
+    want = {}
+    for i, ws in rows:
+        want[i] = 0.0
+        for a, b in zip(["\n"] + ws, ws):
+            both, context = level(two[a, b]), level(one[a])
+            follows = min(1.0, 2.0 ** (both - 1 - context)) if both and context else 0.0
+            share = ((2 ** (level(one[b]) - 1) if one[b] else 0) + 0.1) / denominator
+            want[i] += math.log10(0.4 * follows + 0.6 * share)
+    got = lm_score.scores(documents).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if zlib.crc32(str(r.doc_id).encode()) % 10:  # all n-grams are known, so no level is too low; one in twenty is too high
+            far += abs(r.score / want[r.doc_id] - 1) > 0.03
+    assert far <= 0.02 * len(got)
