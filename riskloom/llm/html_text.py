@@ -3,8 +3,10 @@
 Each page becomes a tree of elements. What is never article text goes with its subtree: navigation, page headers,
 footers, asides, forms, scripts, styles, and elements whose class, id or role names an advert, menu, sidebar, notice or
 comment. Every other element gets a density: characters per tag, adjusted by its share of link characters
-and link tags. The element with the largest sum of its children's densities is the content; elements whose density
-reaches the least on the path from it to the body may hold more of it. Text is read block by block in page order.
+and link tags. Formatting within a line is text of its element and no tag. The element with the largest sum of its children's densities is the content; elements whose density
+reaches the least on the path from it to the body may hold more of it. Within the content, blocks of mostly links below that least are left out.
+No tag name makes an element content. So of several texts side by side those less dense than all of that path, such as very short ones, are left out.
+Text is read block by block in page order.
 
 Pages are worked on one by one in Arrow batches; nothing is shuffled.
 
@@ -37,6 +39,10 @@ BESIDE = re.compile(
     r"side-?bar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|site-header|page-header|masthead|comments?|commentlist|disqus|replies|"
     r"share|sharing|social|related|recommended|recommendations|copyright|disclaimer|toolbar|pagination|pager|skip-link|contentinfo|complementary|search)"
     r"(?:$|[\s_-])", re.I)
+# Formatting within a line; with a block inside it is an element like any other.
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
+             "time tt u var wbr".split())
+LINKS = 3  # links of a block that is left out for them
 LEAST_BASE = math.e ** math.e  # the logarithm's base is e where nothing is linked
 SPACE = re.compile(r"\s+")
 
@@ -124,31 +130,37 @@ class Tree(HTMLParser):
         self._end_block()
 
 
-def densities(t: Tree) -> tuple[list[float], list[float]]:
-    """(density, sum of the children's densities) of every element; dropped ones have none."""
+def densities(t: Tree) -> tuple[list[float], list[float], list[bool]]:
+    """(density, sum of the children's densities, whether it is mostly links) of every element; dropped ones and formatting have none."""
     n = len(t.tag)
     chars, tags, link_chars, link_tags = list(t.own), [0] * n, [c if k else 0 for c, k in zip(t.own, t.linked)], [0] * n
+    apart = [x not in INLINE for x in t.tag]
     for i in range(n - 1, 0, -1):
         if not t.dropped[i]:
             up = t.parent[i]
+            apart[up] |= apart[i]
             chars[up] += chars[i]
             link_chars[up] += link_chars[i]
-            tags[up] += tags[i] + 1
+            tags[up] += tags[i] + (apart[i] or t.tag[i] == "a")
             link_tags[up] += link_tags[i] + (t.tag[i] == "a")
     body = t.tag.index("body") if "body" in t.tag else 0
     linked_share = link_chars[body] / max(1, chars[body])
-    density, total = [0.0] * n, [0.0] * n
+    density, total, links = [0.0] * n, [0.0] * n, [False] * n
     for i in range(n - 1, -1, -1):
         if t.dropped[i] or not chars[i]:
             continue
+        if not apart[i]:  # text counts as a child with one tag
+            total[t.parent[i]] += float(chars[i]) if apart[t.parent[i]] else 0.0
+            continue
         plain = max(1, chars[i] - link_chars[i])
         base = math.log(chars[i] * link_chars[i] / plain + linked_share * chars[i] + LEAST_BASE)
         value = chars[i] / max(1, link_chars[i]) * max(1, tags[i]) / max(1, link_tags[i])
         density[i] = chars[i] / max(1, tags[i]) * math.log(value + 1.0) / math.log(base)
-        total[i] += float(t.own[i])  # text of its own counts as a child with one tag
+        total[i] += float(t.own[i])
+        links[i] = link_tags[i] >= LINKS and 2 * link_chars[i] > chars[i]
         if i:
             total[t.parent[i]] += density[i]
-    return density, total
+    return density, total, links
 
 
 def _above(t: Tree, node: int) -> list[int]:
@@ -160,9 +172,9 @@ def _above(t: Tree, node: int) -> list[int]:
     return path
 
 
-def content(t: Tree) -> set[int]:
-    """Elements whose subtrees are the article."""
-    density, total = densities(t)
+def content(t: Tree) -> tuple[set[int], set[int]]:
+    """(elements whose subtrees are the article, elements within them that are left out)."""
+    density, total, links = densities(t)
     n = len(t.tag)
     best_below = list(range(n))  # the element with the largest sum within each subtree, itself included
     for i in range(n - 1, 0, -1):
@@ -173,8 +185,6 @@ def content(t: Tree) -> set[int]:
     best = best_below[body]
     path = _above(t, best)
     threshold = min(density[i] for i in path)
-    if articles := [i for i in path if t.tag[i] in ARTICLE]:
-        return {articles[-1]}
     children: dict[int, list[int]] = {}
     for i in range(1, n):
         children.setdefault(t.parent[i], []).append(i)
@@ -184,7 +194,7 @@ def content(t: Tree) -> set[int]:
         if not t.dropped[i] and density[i] >= threshold and density[i] > 0:
             marked.add(best_below[i])
             waiting.extend(children.get(i, []))
-    return marked
+    return marked, {i for i in range(n) if links[i] and density[i] < threshold}
 
 
 def main_text(html: str | None) -> str:
@@ -196,10 +206,10 @@ def main_text(html: str | None) -> str:
     t.finish()
     if not t.blocks:
         return ""
-    marked = content(t)
+    marked, left_out = content(t)
     inside = [False] * len(t.tag)
     for i in range(len(t.tag)):
-        inside[i] = i in marked or (i > 0 and inside[t.parent[i]])
+        inside[i] = i not in left_out and (i in marked or (i > 0 and inside[t.parent[i]]))
     return "\n".join(text for node, text in t.blocks if inside[node])
 
 

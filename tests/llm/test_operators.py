@@ -148,6 +148,25 @@ def test_extract_given_pages(spark):
         assert pages[r.page_id].n_chars == len(pages[r.page_id].text)
 
 
+def paragraphs(name, n, times=2):
+    return "".join(f"<p>{name}{i} " + "The committee met again on Tuesday to hear what the engineers had found. " * times + "</p>" for i in range(n))
+
+
+LINK_LIST = "<ul>" + "".join(f"<li><a href=/{i}>Link{i} elsewhere</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><article><h2>HeadA</h2>{paragraphs('A', 4)}</article><article>{paragraphs('B', 3)}</article><article>{paragraphs('C', 5, 3)}</article></div><div>{LINK_LIST}</div>",
+     "HeadA A0 A1 A2 A3 B0 B1 B2 C0 C1 C2 C3 C4"),
+    (f"<div><div><h2>HeadA</h2>{paragraphs('A', 4)}</div><div>{paragraphs('B', 3)}</div></div><div>{LINK_LIST}</div>", "HeadA A0 A1 A2 A3 B0 B1 B2"),
+    (f"<main><div><h1>HeadA</h1>{paragraphs('A', 4)}</div><div>{LINK_LIST}</div></main>", "HeadA A0 A1 A2 A3"),
+    (f"<main><h1><a href=x>HeadA</a></h1>{paragraphs('A', 4)}<div>{LINK_LIST}</div></main>", "HeadA A0 A1 A2 A3"),
+    (f"<article><h1>HeadA</h1><p><b>A0 {'<i>long</i> text in <em>many</em> styles ' * 20}</b><br></p></article>", "HeadA A0")])
+def test_densities_decide(page, want):
+    """Sibling articles, no article at all, unnamed links inside main, formatting that is no structure."""
+    assert re.findall(r"\b(?:Head)?[ABC]\d?\b|Head[ABC]|Link\d", html_text.main_text(f"<html><body>{page}</body></html>")) == want.split()
+
+
 # ------------------------------------------------------------------ 4
 
 ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
