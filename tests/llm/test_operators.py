@@ -167,6 +167,20 @@ def test_densities_decide(page, want):
     assert re.findall(r"\b(?:Head)?[ABC]\d?\b|Head[ABC]|Link\d", html_text.main_text(f"<html><body>{page}</body></html>")) == want.split()
 
 
+TWO = "<h1>HeadA</h1>" + paragraphs("A", 3)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='layout has-sidebar'>{TWO}</div>", "HeadA A0 A1 A2"), (f"<div class='content no-sidebar'>{TWO}</div>", "HeadA A0 A1 A2"),
+    (f"<div class='ad-free post'>{TWO}</div>", "HeadA A0 A1 A2"), (f"<div>{TWO}<section id='related-work'>{paragraphs('B', 2)}</section></div>", "HeadA A0 A1 A2 B0 B1"),
+    (f"<div class='page social'>{TWO}<div class=ad>C1 buy this</div></div>", "HeadA A0 A1 A2"), (f"<div class=comments>{TWO}</div>", "HeadA A0 A1 A2"),
+    (f"<div>{TWO}</div><div class='comments-area'>{paragraphs('B', 9)}</div><div id=cookie_banner>{paragraphs('C', 9)}</div>", "HeadA A0 A1 A2"),
+    (f"<div>{TWO}<p>B0 text <span class=ad>C1 ad</span> more of the same, long enough to be read as a paragraph of its own.</p></div><div id='ad-3'>C2 ad</div>", "HeadA A0 A1 A2 B0")])
+def test_whole_names_only(page, want):
+    """Names that hold a word of BESIDE are no such names, and a wrapper with the article stays whatever it is called."""
+    assert re.findall(r"\b[ABC]\d\b|Head[ABC]", html_text.main_text(f"<html><body>{page}</body></html>")) == want.split()
+
+
 # ------------------------------------------------------------------ 4
 
 ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
