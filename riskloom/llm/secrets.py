@@ -3,12 +3,12 @@
 Three patterns stand alone: assignments to a secret name, access identifiers and long hex runs. Other parts are weak:
 an identifier named by its key, a 40-character token, an endpoint. They are reported only where complementary
 parts lie within ``REACH`` code points of each other in one document: a weak identifier beside a secret, a
-weak secret beside an identifier, an endpoint beside an identifier or a secret.
+weak secret beside an identifier or an endpoint, an endpoint beside an identifier or a secret.
 
 Only DataFrame functions are used. Texts without any part are passed over by one test per
 pattern. A match's place is the length of the gaps and matches before it, in code points. Linking is an interval join:
-parts are dealt to bins of ``REACH`` code points, each to the bins its scope touches, and compared within a bin, so a document with very many parts
-spreads over its bins; parts do not overlap within a pattern, which bounds a bin.
+parts are dealt to bins of ``REACH`` code points, each to the bins of its ends and of what is near them, and compared within a bin, so a document with very many parts
+spreads over its bins and a part of any length is in a few; parts do not overlap within a pattern, which bounds a bin.
 
 Defined cases: a null or empty text has no spans. Rows that repeat a document get its spans each. A null doc_id is an
 id like any other. Further columns are ignored by ``scan`` and kept by ``redact``.
@@ -31,11 +31,11 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 BASE = {"assign": (ASSIGN, 6), "access": (ACCESS, 20), "hex": (HEX, 24)}
 
-# Weak parts: pattern, least and greatest length of the reported text, and a text that must occur for it to be tried.
+# Weak parts: pattern, least and greatest length (None: any) of the reported text, and a text that must occur for it to be tried.
 WEAK = {
-    "name": ("(?i:access_?key(?:_?id)?|client_?id|user_?name|login)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)", 3, 128),
+    "name": ("(?i:access_?key(?:_?id)?|client_?id|user_?name|login)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)", 3, None),
     "key40": ("[A-Za-z0-9+/]+", 40, 40),
-    "endpoint": ("(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://([A-Za-z0-9_.:@/-]+)", 4, 2048),
+    "endpoint": ("(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://([A-Za-z0-9_.:@/-]+)", 4, None),
 }
 NEEDED = {
     "assign": "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]",
@@ -91,15 +91,16 @@ def link(found: DataFrame) -> DataFrame:
             f"s.start AS start, s.end AS end))" for k in ORDER]
     flat = (found.where(" + ".join(f"size({k})" for k in ORDER) + " > 1").where(" + ".join(f"size({k})" for k in WEAK) + " > 0")
             .withColumn("p", F.explode(F.expr(f"concat({', '.join(each)})"))).select("doc", "tag", "p.*").distinct())
-    bins = F.sequence(F.floor(F.greatest(F.col("start") - REACH, F.lit(0)) / REACH), F.floor((F.col("end") + REACH) / REACH))
+    bins = F.expr(f"array_distinct(concat(sequence(floor(greatest(start - {REACH}, 0) / {REACH}), floor(start / {REACH})), "
+                  f"sequence(floor(end / {REACH}), floor((end + {REACH}) / {REACH}))))")
     weak = flat.where("NOT strong").withColumn("bin", F.explode(bins))
     other = flat.select(F.col("doc").alias("doc_o"), F.col("tag").alias("tag_o"), F.col("role").alias("role_o"), F.col("kind").alias("kind_o"), F.col("start").alias("start_o"),
-                        F.col("end").alias("end_o"), F.explode(F.expr(f"sequence(floor(start / {REACH}), floor(end / {REACH}))")).alias("bin_o"))
+                        F.col("end").alias("end_o"), F.explode(F.expr(f"array_distinct(array(floor(start / {REACH}), floor(end / {REACH})))")).alias("bin_o"))
     near = (
         weak.join(other, F.col("doc").eqNullSafe(F.col("doc_o")) & (F.col("tag") == F.col("tag_o")) & (F.col("bin") == F.col("bin_o")))
         .where(f"start_o <= end + {REACH} AND end_o >= start - {REACH}")
         .where("NOT (start_o < end AND end_o > start)")  # a text does not support itself
-        .where("(role = 'identifier' AND role_o = 'secret') OR (role = 'secret' AND role_o = 'identifier') "
+        .where("(role = 'identifier' AND role_o = 'secret') OR (role = 'secret' AND role_o IN ('identifier', 'endpoint')) "
                "OR (role = 'endpoint' AND role_o <> 'endpoint')"))
     return near.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "kind", "end")).alias("weak"))
 
