@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, fingerprint, html_text, language, lm_score, mixing, near_dedup, quality, secrets, warc
+from riskloom.llm import (bpe, decontaminate, fingerprint, hard_negatives, html_text, language, lm_score, merkle, mixing, near_dedup, quality,
+                          secrets, warc)
 from riskloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,27 @@ def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     """Language-model scores of every document."""
     return lm_score.scores(table(spark, sf, "documents"))
+
+
+@query
+def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document, and the text that they spell."""
+    import public_tokenizers
+
+    automaton = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    found = bpe.decode(bpe.encode(table(spark, sf, "documents"), automaton), automaton)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mine(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's proof, folded from a tampered leaf in a seventh of them."""
+    return merkle.digest(merkle.proofs(table(spark, sf, "documents")))
