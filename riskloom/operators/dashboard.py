@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions import scan
+from riskloom.functions import selection
 from riskloom.functions.rounding import half_up
-from riskloom.functions.storage import saved
 from riskloom.operators import cost
 from riskloom.sources.schema import ACTIONS, UNKNOWN_PLACE
 
@@ -138,16 +137,21 @@ def capacity_curve(df: DataFrame, call_minutes: float = 6.0, shift_hours: float
     """Value captured by the best 0, 10 .. 100 % of the calls."""
     per_shift = shift_hours * 60.0 / call_minutes
     # a narrow table of the held transactions, so decisions are computed once
-    h = saved(hold_savings(df).select("tx_id", "saving")).withColumns({
-        "_down": -F.col("saving"), "_all": F.lit(0), "_one": F.lit(1).cast("long")})
-    run = scan.running(h, ["_all"], ["_down", "tx_id"], sums={"_rank": "_one", "_above": "saving"})
-    total = h.groupBy("_all").agg(F.count("*").alias("_holds"), F.sum("saving").alias("_total")).join(_period(df), "_all")
-    step = F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct(
-        (i / 10.0).alias("share"), F.bround(i / 10.0 * F.col("_holds"), 0).cast("long").alias("calls"))))
-    steps = total.select("_all", "_total", "days", step.alias("s"))
-    # eleven rows, broadcast; each call meets only the step that ends with it
-    at = run.join(F.broadcast(steps.select(F.col("s.calls").alias("_calls")).distinct()), F.col("_rank") + 1 == F.col("_calls"))
-    got = at.select("_calls", (F.col("_above") + F.col("saving")).alias("_got"))
+    order = ["_down", "tx_id"]
+    h = selection.narrow(hold_savings(df), "tx_id", "saving", (-F.col("saving")).alias("_down"))
+    holds = h.count()
+    ends = sorted({round(i / 10 * holds) for i in range(11)} - {0})  # halves go to the even number
+    _, last = selection.rows_at(h, order, lambda n: {str(e): e - 1 for e in ends})
+    # each call belongs to the step whose last call is not before it
+    step_of = sum(((~selection.at_or_before(order, last[str(e)])).cast("int") for e in ends), F.lit(0))
+    parts = {r["step"]: r["saving"] for r in h.groupBy(step_of.alias("step")).agg(F.sum("saving").alias("saving")).collect()}  # ten rows
+    got, best = [], 0.0
+    for i, e in enumerate(ends):
+        best += parts[i]
+        got.append((e, best))
+    got = df.sparkSession.createDataFrame(got, "_calls long, _got double")
+    steps = _period(df).select("days", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct(
+        (i / 10.0).alias("share"), F.bround(i / 10.0 * F.lit(holds), 0).cast("long").alias("calls")))).alias("s"), F.lit(best).alias("_total")).where(F.lit(holds > 0))
     return steps.join(F.broadcast(got), F.col("s.calls") == F.col("_calls"), "left").select(
         F.col("s.share").alias("share_of_calls"), F.col("s.calls").alias("calls"),
         (F.coalesce("_got", F.lit(0.0)) / F.when(F.col("_total") == 0, F.lit(1.0)).otherwise(F.col("_total"))).alias("share_of_value"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.quantiles import quantiles
-from riskloom.functions.storage import saved
+from riskloom.functions import selection
 from riskloom.operators import metrics
 from riskloom.sources.schema import ACCUMULATING, FEATURES
 
@@ -34,34 +37,45 @@ def verdict(psi: Column) -> Column:
 
 
 def psi(df: DataFrame, features: list[str] = FEATURES, bins: int = 10) -> DataFrame:
-    """PSI of each feature between rows with side = reference and side = current. Edges are the
-    quantiles of the reference. Values are counted once per (feature, value) and stored; edges and
-    bins both come from the counts."""
-    long = df.unpivot(["side"], features, "feature", "value")
-    counts = saved(long.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == "reference").alias("e"), F.count_if(F.col("side") == "current").alias("a")))
-    edges = _edges(counts, bins)
+    """PSI of each feature between rows with side = reference and side = current. Edges are the distinct quantiles of
+    the reference; values that are null or NaN do not count.
+
+    The features are stored once. Their quantiles are selected by histograms of all features at once, and one more pass counts
+    both sides per bin: no row is unpivoted or shuffled. What comes to the driver is bounded by features and bins."""
+    d = selection.narrow(df, "side", *[F.col(f).cast("double").alias(f) for f in features])
+    reference = {f: F.when(F.col("side") == "reference", F.col(f)) for f in features}
+    edges = {f: list(dict.fromkeys(q)) for f, q in selection.quantiles_of(d, reference, [i / bins for i in range(bins + 1)]).items()}
+    inner = {f: e[1:-1] if len(e) >= 3 else [] for f, e in edges.items()}
+    usable = F.col("feature").isin([f for f, e in edges.items() if len(e) >= 3])
+    counts = _bin_counts(d, inner)
     total = counts.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
-    # one row per feature: bounded by the number of features
-    ref = edges.join(total, "feature")
-    binned = (counts.join(F.broadcast(ref), "feature")
-              .withColumn("bin", F.size(F.filter("inner", lambda x: x <= F.col("value"))))
-              .groupBy("feature", "bin", "_e", "_a", "n_edges").agg(F.sum("e").alias("e"), F.sum("a").alias("a")))
-    es = F.greatest(F.col("e") / F.col("_e"), F.lit(SHARE_FLOOR))
-    as_ = F.greatest(F.col("a") / F.col("_a"), F.lit(SHARE_FLOOR))
-    usable = (F.col("n_edges") >= 3) & (F.col("_e") > 0) & (F.col("_a") > 0)
-    g = binned.groupBy("feature").agg(F.sum(F.when(usable, (as_ - es) * F.log(as_ / es)).otherwise(F.lit(0.0))).alias("psi"))
+    g = counts.join(F.broadcast(total), "feature")  # one row per feature
+    es = F.greatest(F.try_divide(F.col("e"), F.col("_e")), F.lit(SHARE_FLOOR))
+    as_ = F.greatest(F.try_divide(F.col("a"), F.col("_a")), F.lit(SHARE_FLOOR))
+    counted = usable & (F.col("_e") > 0) & (F.col("_a") > 0)
+    g = g.groupBy("feature").agg(F.sum(F.when(counted, (as_ - es) * F.log(as_ / es)).otherwise(F.lit(0.0))).alias("psi"))
     return g.withColumns({"verdict": verdict(F.col("psi")), "accumulating": F.col("feature").isin(ACCUMULATING)})
 
 
-def _edges(counts: DataFrame, bins: int) -> DataFrame:
-    """Distinct reference quantiles per feature; ``inner`` leaves out the two open ends."""
-    q = quantiles(counts.where(F.col("e") > 0), ["feature"], "value", [i / bins for i in range(bins + 1)],
-                  weight="e")
-    u = q.select("feature", F.array_distinct("q").alias("u"))
-    return u.select("feature", F.size("u").alias("n_edges"),
-                    F.when(F.size("u") >= 3, F.slice("u", 2, F.greatest(F.size("u") - 2, F.lit(1))))
-                    .otherwise(F.slice("u", 1, 0)).alias("inner"))
+def _bin_counts(d: DataFrame, inner: dict[str, list[float]]) -> DataFrame:
+    """feature, bin, e, a: reference and current rows per bin, counted within the tasks before the shuffle."""
+    names = list(inner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {f: np.zeros((2, len(x) + 1), np.int64) for f, x in inner.items()}
+        for b in batches:
+            side = b.column("side").to_numpy(zero_copy_only=False)
+            for f, x in inner.items():
+                v = b.column(f).to_numpy(zero_copy_only=False)
+                for k, name in enumerate(("reference", "current")):
+                    own = v[side == name]
+                    counts[f][k] += np.bincount(np.searchsorted(x, own[~np.isnan(own)], side="right"), minlength=len(x) + 1)
+        for f, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f] * c.shape[1]), pa.array(np.arange(c.shape[1])), pa.array(c[0]), pa.array(c[1])],
+                                             names=["feature", "bin", "e", "a"])
+
+    parts = d.select("side", *names).mapInArrow(run, "feature string, bin long, e long, a long")
+    return parts.groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
 
 
 def calibration_by_week(scored: DataFrame, score: str = "p_fraud", min_rows: int = MIN_WEEK_ROWS) -> DataFrame:

@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.functions import scan
-from riskloom.functions.quantiles import quantiles
-from riskloom.functions.storage import saved, stored
+from riskloom.functions import scan, selection
+from riskloom.functions.storage import saved
 from riskloom.sources.schema import SCHEMES
 
 TRAIN_SHARE, VALID_SHARE = 0.60, 0.15
 FIRST_TRAIN, FOLD_VALID, FOLDS = 0.40, 0.10, 4
-STEPS = 4096
-
-
-def _with_total(df: DataFrame) -> DataFrame:
-    """Attach the row count ``_total`` (one row, joined on a constant)."""
-    total = df.groupBy(F.lit(0).alias("_all")).agg(F.count("*").alias("_total"))
-    return df.withColumn("_all", F.lit(0)).join(F.broadcast(total), "_all").drop("_all")
 
 
 def _part(n: Column, share) -> Column:
@@ -27,29 +20,17 @@ def _part(n: Column, share) -> Column:
 
 def positions(df: DataFrame, at: dict[str, Column], order: list[str] | None = None) -> DataFrame:
     """One row with the order values of the rows at given indexes (expressions of the row count
-    ``n``); null past the end.
-
-    Rows are counted in equal steps of the first order column, and only the steps that hold a wanted row
-    are ranked."""
+    ``n``); null past the end. Nothing is ranked but the ties of those rows."""
     order = order or ["us", "tx_id"]
-    d = stored(df.select(*order), "order")
-    t = F.col(order[0]).cast("double")
-    lo, hi, n = d.agg(F.min(t), F.max(t), F.count("*")).first()
-    wanted = df.sparkSession.range(1).select(F.lit(n).alias("n")).select(
-        *[pos.cast("long").alias(name) for name, pos in at.items()]).first().asDict()
-    step = F.floor((t - lo) / (hi - lo) * STEPS) if n and hi > lo else F.lit(0).cast("long")
-    sizes = {r["step"]: r["count"] for r in d.groupBy(step.alias("step")).count().collect()}  # STEPS + 1 rows at most
-    index, earlier, held = {}, 0, 0  # index: place of each wanted row among the ranked ones
-    ranked = []
-    for s in sorted(sizes):
-        inside = {name: held + pos - earlier for name, pos in wanted.items() if earlier <= pos < earlier + sizes[s]}
-        if inside:
-            index |= inside
-            ranked.append(s)
-            held += sizes[s]
-        earlier += sizes[s]
-    few = scan.global_index(d.where(step.isin(ranked)), order)
-    return few.agg(*[F.max(F.when(F.col("row_index") == F.lit(index.get(name)), F.struct(*order))).alias(name) for name in at])
+    spark = df.sparkSession
+    d = selection.narrow(df, *order)
+
+    def ranks(n: int) -> dict[str, int]:
+        return spark.range(1).select(F.lit(n).alias("n")).select(*[pos.cast("long").alias(name) for name, pos in at.items()]).first().asDict()
+
+    _, rows = selection.rows_at(d, order, ranks)
+    schema = T.StructType([T.StructField(name, T.StructType([d.schema[c] for c in order])) for name in at])
+    return spark.createDataFrame([tuple(rows[name] for name in at)], schema)
 
 
 def _before(at: str, order: list[str]) -> Column:
@@ -180,14 +161,29 @@ def brier(score: str = "p_fraud", label: str = "is_fraud") -> Column:
     return F.avg(d * d)
 
 
+def recalls_at_budget(df: DataFrame, masks: dict[str, Column], score: str = "p_fraud", budget: float = 0.02,
+                      tie: str = "tx_id") -> DataFrame:
+    """Per mask (``name``): ``recall``, the share of its rows among the top ``budget`` of all rows by score, and ``n``, its rows.
+
+    The score of the last row of the budget is selected, only its ties are ranked, and one pass counts all masks. Rows without a score
+    count as rows but are never among the top."""
+    order = ["_down", "_tie"]
+    flags = [F.coalesce(m, F.lit(False)).alias(f"m{i}") for i, m in enumerate(masks.values())]
+    d = selection.narrow(df, (-F.col(score)).alias("_down"), F.col(tie).alias("_tie"), *flags)
+    rows = d.count()
+    last = max(1, round(rows * budget)) - 1  # halves go to the even number
+    n, found = selection.rows_at(d, order, lambda n: {"last": max(0, min(last, n - 1))})
+    top = F.coalesce(selection.at_or_before(order, found["last"]), F.lit(False)) if n else F.lit(False)
+    top = top & F.col("_down").isNotNull() & ~F.isnan("_down")
+    long = d.select(top.alias("top"), F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"m{i}").alias("hit")) for i, name in enumerate(masks)])).alias("m"))
+    return long.groupBy("m.name").agg(F.avg(F.when(F.col("m.hit"), F.col("top").cast("double"))).alias("recall"), F.count_if("m.hit").alias("n"))
+
+
 def recall_at_budget(df: DataFrame, mask: Column, score: str = "p_fraud", budget: float = 0.02,
                      tie: str = "tx_id") -> DataFrame:
     """Share of the masked rows among the top ``budget`` of all rows by score; one row."""
-    d = df.select(F.col(tie), (-F.col(score)).alias("_down"), mask.alias("_mask"))
-    d = _with_total(scan.global_index(d, ["_down", tie]))
-    k = F.greatest(F.lit(1), F.bround(F.col("_total") * budget, 0))
-    return d.agg(F.avg(F.when(F.col("_mask"), (F.col("row_index") < k).cast("double"))).alias("recall"),
-                 F.sum(F.col("_mask").cast("long")).alias("n"))
+    d = recalls_at_budget(df, {"all": mask}, score, budget, tie)
+    return d.agg(F.max("recall").alias("recall"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
 
 
 def reliability_curve(df: DataFrame, score: str = "p_fraud", label: str = "is_fraud", bins: int = 10,
@@ -195,12 +191,11 @@ def reliability_curve(df: DataFrame, score: str = "p_fraud", label: str = "is_fr
     """Predicted and actual rate in bins whose edges are 0 and the upper-decile quantiles."""
     step = 0.1 / (bins - 1)
     probs = [0.9 + step * i for i in range(bins - 1)] + [1.0]
-    d = df.select(F.lit(0).alias("_all"), F.col(score).alias("p"), F.col(label).cast("double").alias("y"))
-    q = quantiles(d, ["_all"], "p", probs)
-    edges = q.select("_all", F.sort_array(F.array_distinct(F.concat(
-        F.array(F.lit(0.0)), F.transform("q", lambda x: F.round(x, 6))))).alias("edges"))
+    d = selection.narrow(df, F.col(score).alias("p"), F.col(label).cast("double").alias("y"))
+    q = selection.quantiles_of(d, {"p": F.col("p")}, probs)["p"]
+    edges = F.sort_array(F.array_distinct(F.array(F.lit(0.0), *[F.round(F.lit(x), 6) for x in q])))
+    d = d.withColumn("edges", edges)
     last = F.size("edges") - 1
-    d = d.join(F.broadcast(edges), "_all")
     # the last bin is open upwards, so rounding its edge down loses no row
     bin_no = F.least(F.size(F.filter("edges", lambda e: e <= F.col("p"))), last)
     g = d.where(bin_no >= 1).groupBy(bin_no.alias("bin"), "edges").agg(

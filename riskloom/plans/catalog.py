@@ -402,12 +402,8 @@ def reliability_curve(spark, sf):
 
 @query
 def recall_at_budget(spark, sf):
-    d = X.scored_events(spark, sf)
-    out = None
-    for s in S.SCHEMES:
-        r = metrics.recall_at_budget(d, (F.col("is_fraud") == 1) & (F.col("fraud_type") == s)).select(F.lit(s).alias("fraud_type"), "recall", "n")
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    masks = {s: (F.col("is_fraud") == 1) & (F.col("fraud_type") == s) for s in S.SCHEMES}
+    return rounded(metrics.recalls_at_budget(X.scored_events(spark, sf), masks).withColumnRenamed("name", "fraud_type"))
 
 
 @query
