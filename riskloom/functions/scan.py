@@ -1,11 +1,10 @@
 """Running aggregates "before me" that stay balanced when one key holds a large part of the rows.
 
-A window partitioned by a hot key would put all its rows in one task. Here the timeline of a large
-key is cut into chunks at real row positions: rows whose hash is 0 modulo ``chunk_rows`` are picked,
-about one per ``chunk_rows`` rows of the key, and a key with at least ``MIN_CUTS`` of them is cut
-there. The window then runs per (key, chunk), and the totals of the earlier chunks of the same key
-are added from a carry table. Both tables have at most about rows / chunk_rows entries. Results do
-not depend on where the cuts fall; without a large key the plan is the plain window.
+A window partitioned by a hot key would put all its rows in one task. Here hot keys are looked for in a sample of the rows; without one the plan is
+the plain window. With one, all rows are dealt by range of (key, order) and stored with the number of their part, so a hot key's timeline lies in as many
+parts as it needs: its chunks. The windows then run per (key, chunk), and what a chunk needs of the chunks before it comes from a
+carry table, which has a row for each part that a hot key reaches into. A row itself carries nothing but the number of its chunk. Results do not depend on where the
+parts begin.
 
 Set ``spark.riskloom.chunkRows`` to change the chunk size.
 """
@@ -14,15 +13,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.storage import stored
+from riskloom.functions.storage import saved, stored
 
 DEFAULT_CHUNK_ROWS = 2_000_000
-MIN_CUTS = 3
-BROADCAST_ROWS = 200_000  # above this many cuts the small side is joined by shuffle
+MIN_PICKED = 3
+BROADCAST_ROWS = 200_000  # above this many rows the small side is joined by shuffle
 
 
 def chunk_rows(spark: SparkSession) -> int:
@@ -30,74 +28,62 @@ def chunk_rows(spark: SparkSession) -> int:
 
 
 @dataclass(frozen=True)
-class Cuts:
-    """Cut positions per key; ``table`` is None when no key is large enough to be cut."""
+class Hot:
+    """Keys with many rows; ``table`` is None when there are none. ``parts`` is how many ranges make chunks of the wanted size."""
 
     keys: tuple[str, ...]
-    order: tuple[str, ...]
     table: DataFrame | None
     count: int
+    parts: int
 
     def bounded(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.count <= BROADCAST_ROWS else df
+        """Tables with a row per hot key, or per part that one reaches into."""
+        return F.broadcast(df) if self.count + self.parts <= BROADCAST_ROWS else df
 
+    def flag(self, df: DataFrame) -> DataFrame:
+        """Add ``_hot``: does the row's key have many rows?"""
+        if self.table is None:
+            return df.withColumn("_hot", F.lit(False))
+        marked = self.bounded(self.table.withColumn("_hot", F.lit(True)))
+        return df.join(marked, list(self.keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
-def find_cuts(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None,
-              min_cuts: int = MIN_CUTS) -> Cuts:
-    """Sample cut positions: one scan of the key and order columns; only the picked rows move."""
+
+def find_hot(df: DataFrame, keys: list[str], by: list[str], rows: int | None = None, least: int = MIN_PICKED) -> Hot:
+    """Keys with about ``least`` times ``rows`` rows or more: one scan of the keys and the columns ``by`` that tell rows apart; rows whose hash is 0
+    modulo ``rows`` are picked, counted by key within the tasks, and keys picked ``least`` times are hot."""
     rows = rows or chunk_rows(df.sparkSession)
-    picked = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0)
-    table = (
-        picked.select(*keys, F.struct(*order).alias("_at"))
-        .groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
-        .where(F.size("_cuts") >= min_cuts)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    n = table.agg(F.coalesce(F.sum(F.size("_cuts")), F.lit(0))).first()[0]
-    if n == 0:
-        table.unpersist()
-        return Cuts(tuple(keys), tuple(order), None, 0)
-    return Cuts(tuple(keys), tuple(order), table, n)
-
-
-def _position(cuts: str, at: str, count: int) -> Column:
-    """How many sorted cuts are at or before a position, by binary search among at most ``count``."""
-    return F.expr(
-        f"aggregate(sequence({count.bit_length() - 1}, 0, -1), 0, (lo, b) -> CASE WHEN "
-        f"get({cuts}, lo + shiftleft(1, b) - 1) <= {at} THEN lo + shiftleft(1, b) ELSE lo END)")
-
-
-def with_chunk(df: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``_chunk`` and ``_hot`` (the key has cuts)."""
-    if cuts.table is None:
-        return df.withColumns({"_chunk": F.lit(0), "_hot": F.lit(False)})
-    return (
-        df.join(cuts.bounded(cuts.table), list(cuts.keys), "left")
-        .withColumn("_at", F.struct(*cuts.order))
-        .withColumns({
-            "_chunk": F.when(F.col("_cuts").isNull(), 0).otherwise(_position("_cuts", "_at", cuts.count)),
-            "_hot": F.col("_cuts").isNotNull(),
-        })
-        .drop("_cuts", "_at")
-    )
+    picked = df.where(F.pmod(F.xxhash64(*keys, *by), F.lit(rows)) == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
+    count, total = picked.agg(F.count_if(F.col("_n") >= least), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    table = saved(picked.where(F.col("_n") >= least).drop("_n")) if count else None
+    return Hot(tuple(keys), table, count, total + 1)
+
+
+def chunked(df: DataFrame, hot: Hot, order: list[str]) -> DataFrame:
+    """Add ``_chunk`` and ``_hot``; the rows of a key that is not hot are all in chunk 0. With hot keys the rows are dealt by range and
+    stored, so that a retry cannot move an edge."""
+    d = hot.flag(df)
+    if hot.table is None:
+        return d.withColumn("_chunk", F.lit(0))
+    dealt = d.repartitionByRange(hot.parts, *hot.keys, *order)
+    return stored(dealt.withColumn("_chunk", F.when(F.col("_hot"), F.spark_partition_id()).otherwise(0)), "chunks")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], *, sums: dict[str, str] | None = None,
             mins: dict[str, str] | None = None, maxs: dict[str, str] | None = None,
-            lasts: dict[str, str] | None = None, cuts: Cuts | None = None) -> DataFrame:
+            lasts: dict[str, str] | None = None, hot: Hot | None = None) -> DataFrame:
     """Add aggregates over all earlier rows of the key (``order`` must be total and not null).
 
     Each mapping is output column -> input column. Sums start at 0, the others at null;
     ``lasts`` takes the latest value that is not null.
     """
-    cuts = cuts or find_cuts(df, keys, order)
-    d = with_chunk(df, cuts)
-    parts = list(keys) + (["_chunk"] if cuts.table is not None else [])
+    hot = hot or find_hot(df, keys, order)
+    d = chunked(df, hot, order)
+    parts = list(keys) + (["_chunk"] if hot.table is not None else [])
     before = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     kinds = [(sums or {}, F.sum), (mins or {}, F.min), (maxs or {}, F.max),
              (lasts or {}, lambda c: F.last(c, ignorenulls=True))]
     local = {out: agg(src).over(before) for names, agg in kinds for out, src in names.items()}
-    if cuts.table is None:
+    if hot.table is None:
         d = d.withColumns(local)
         return d.withColumns({o: F.coalesce(o, F.lit(0)) for o in (sums or {})}).drop("_chunk", "_hot")
 
@@ -113,7 +99,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], *, sums: dict[str,
     carry = totals.select(
         *keys, "_chunk",
         *[agg(f"_c_{o}").over(earlier).alias(f"_c_{o}") for names, agg in kinds for o in names])
-    d = d.withColumns(local).join(cuts.bounded(carry), list(keys) + ["_chunk"], "left")
+    d = d.withColumns(local).join(hot.bounded(carry), list(keys) + ["_chunk"], "left")
     merged = {o: F.coalesce(o, F.lit(0)) + F.coalesce(f"_c_{o}", F.lit(0)) for o in (sums or {})}
     merged |= {o: F.least(o, f"_c_{o}") for o in (mins or {})}
     merged |= {o: F.greatest(o, f"_c_{o}") for o in (maxs or {})}

@@ -2,7 +2,7 @@
 
 Everything runs on one shuffle by client: windows over (client), (client, device), (client, city),
 (client, category), (client, recipient) and (client, ip) all reuse that distribution. A client with
-a very long history is cut into chunks; what earlier chunks know travels as a few extra rows at the
+a very long history is dealt to chunks by range of time; what earlier chunks know travels as a few extra rows at the
 chunk edges, so no window ever needs the whole client in one task.
 """
 
@@ -41,19 +41,22 @@ def _measures(d: DataFrame) -> DataFrame:
     })
 
 
-def _edge_rows(d: DataFrame, hot: DataFrame, cuts: scan.Cuts) -> DataFrame:
-    """Extra rows for clients with cuts: one-hour and one-day expiries, and per chunk the state
-    carried in from earlier chunks plus the next sighting in later ones."""
-    expiry = hot.select(
+def _expiries(d: DataFrame, hot: scan.Hot) -> DataFrame:
+    """Extra rows for hot clients: what leaves the last hour and the last day."""
+    expiry = hot.flag(d).where("_hot").select(
         "client_id", "tx_id", "m_money", "us",
         F.explode(F.array(F.lit(1), F.lit(24))).alias("_hours"))
-    expiry = expiry.select(
+    return expiry.select(
         "client_id", "tx_id", F.lit(0).alias("_cls"),
         (F.col("us") + F.col("_hours") * F.lit(HOUR_US) + 1).alias("us"),
         (F.col("_hours") == 1).cast("long").alias("m_x1"),
         (F.col("_hours") == 24).cast("long").alias("m_x24"),
         F.when(F.col("_hours") == 24, F.col("m_money")).otherwise(F.lit(0)).cast(MONEY).alias("m_xmoney"))
-    expiry = scan.with_chunk(expiry, cuts).withColumn("_pos", F.lit(1))
+
+
+def _edge_rows(chunks: DataFrame) -> DataFrame:
+    """Extra rows for hot clients: per chunk the state carried in from earlier chunks plus the next sighting in later ones."""
+    hot, expiry = (chunks.where(F.col("_hot") & (F.col("_cls") == c)) for c in (1, 0))
 
     # one row per (client, chunk, family, value); the client itself is the family "client"
     seen = hot.select(
@@ -96,44 +99,45 @@ def _edge_rows(d: DataFrame, hot: DataFrame, cuts: scan.Cuts) -> DataFrame:
         *[only(f, F.col("m_n")).alias(f"n_{f}") for f in FAMILIES],
         *[only(f, F.col("_first")).alias(f"f_{f}") for f in FAMILIES],
         *[F.when(F.col("fam") == f, F.col("val")).alias(c) for f, c in FAMILIES.items()])
-    return expiry.unionByName(edge, allowMissingColumns=True)
+    return edge
 
 
-def _per_chunk(profiles: DataFrame, cuts: scan.Cuts) -> DataFrame:
+def _per_chunk(profiles: DataFrame, chunks: DataFrame, hot: scan.Hot) -> DataFrame:
     """One copy of a profile per chunk of its client, so a large client is joined chunk by chunk."""
-    if cuts.table is None:
+    if hot.table is None:
         return profiles
-    size = cuts.bounded(cuts.table.select("client_id", F.size("_cuts").alias("_last")))
-    chunks = F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))
-    return profiles.join(size, "client_id", "left").withColumn("_chunk", F.explode(chunks)).drop("_last")
+    more = chunks.where("_hot").groupBy("client_id").agg(F.collect_set("_chunk").alias("_chunks"))  # as many as the client has parts
+    return profiles.join(hot.bounded(more), "client_id", "left").withColumn(
+        "_chunk", F.explode(F.coalesce("_chunks", F.array(F.lit(0))))).drop("_chunks")
 
 
-def client_cuts(tx: DataFrame) -> scan.Cuts:
-    d = normalise(tx).select("client_id", "us", F.lit(1).alias("_cls"), "tx_id")
-    return scan.find_cuts(d, ["client_id"], ORDER)
+def hot_clients(tx: DataFrame) -> scan.Hot:
+    return scan.find_hot(normalise(tx).select("client_id", "us", "tx_id"), ["client_id"], ["us", "tx_id"])
 
 
 def client_state(tx: DataFrame, profiles: DataFrame | None = None, places: DataFrame | None = None,
-                 cuts: scan.Cuts | None = None) -> DataFrame:
+                 hot: scan.Hot | None = None) -> DataFrame:
     """Transactions with everything known about their client just before them. Without profiles and
     places only what comes from the transactions themselves is added, which is all the network
     pass needs."""
-    cuts = cuts or client_cuts(tx)
+    hot = hot or hot_clients(tx)
     d = normalise(tx).drop("lat", "lon").withColumn("_cls", F.lit(1))
-    # without cuts ``_chunk`` is a constant; it stays out of the keys so the profile join and all
+    # without hot clients ``_chunk`` is a constant; it stays out of the keys so the profile join and all
     # windows share one exchange
-    parts = ["client_id"] if cuts.table is None else ["client_id", "_chunk"]
-    d = scan.with_chunk(d, cuts)
+    parts = ["client_id"] if hot.table is None else ["client_id", "_chunk"]
     unknown = F.lit(None).cast("double")
     d = _measures(with_place(d, places) if places is not None else d.withColumns({"lat": unknown, "lon": unknown}))
+    if hot.table is not None:
+        d = d.unionByName(_expiries(d, hot), allowMissingColumns=True)
+    d = scan.chunked(d, hot, ORDER)
+    edge = _edge_rows(d) if hot.table is not None else None
     if profiles is not None:
-        d = with_profile(d, _per_chunk(profiles, cuts), parts)
+        d = with_profile(d, _per_chunk(profiles, d, hot), parts)
     d = d.withColumn("_pos", F.lit(1))
-    if cuts.table is not None:
-        edge = _edge_rows(d, d.where("_hot"), cuts)
+    if edge is not None:
         d = d.unionByName(edge, allowMissingColumns=True)
 
-    order = ["us", "tx_id"] if cuts.table is None else ["_pos", "us", "_cls", "tx_id"]
+    order = ["us", "tx_id"] if hot.table is None else ["_pos", "us", "_cls", "tx_id"]
     own = Window.partitionBy(*parts).orderBy(*order)
     past = own.rowsBetween(Window.unboundedPreceding, -1)
     older = Window.partitionBy(*parts).orderBy("us")
@@ -144,9 +148,9 @@ def client_state(tx: DataFrame, profiles: DataFrame | None = None, places: DataF
         return F.coalesce(F.sum(c).over(past), F.lit(0))
 
     def expired(flagged: str, measure: str, frame):
-        """Cold clients read their old rows by range, cut ones add up expiry rows."""
+        """Other clients read their old rows by range, hot ones add up expiry rows."""
         ranged = F.coalesce(F.sum(measure).over(frame), F.lit(0))
-        return ranged if cuts.table is None else F.when(F.col("_hot"), total(flagged)).otherwise(ranged)
+        return ranged if hot.table is None else F.when(F.col("_hot"), total(flagged)).otherwise(ranged)
 
     cols = {
         "h_n": total("m_n"), "h_sum": total("m_sum"), "h_sq": total("m_sq"),
@@ -164,7 +168,7 @@ def client_state(tx: DataFrame, profiles: DataFrame | None = None, places: DataF
         cols[f"h_prev_{f}"] = F.lag("us").over(mine)
         cols[f"h_next_{f}"] = F.lead("us").over(mine)
     out = d.withColumns(cols)
-    if cuts.table is not None:
+    if hot.table is not None:
         out = out.where((F.col("_pos") == 1) & (F.col("_cls") == 1))
     drop = [c for c in out.columns if c.startswith(("m_", "n_", "f_"))]
     out = out.drop("_pos", "_cls", "_chunk", "_hot", *drop)

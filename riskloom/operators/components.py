@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import scan
-from riskloom.functions.storage import saved
+from riskloom.functions.storage import saved, stored
 from riskloom.operators.entity_features import KINDS, _entity
 
 DEFAULT_SPAN_LINKS = 500_000
@@ -110,12 +110,14 @@ def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     spark = first_links.sparkSession
     max_links = max_links or span_links(spark)
     order = ["us", "tx_id", "part"]
-    e = saved(first_links.withColumn("_all", F.lit(0)))
-    cuts = scan.find_cuts(e, ["_all"], order, max_links, 2)
-    levels = max(cuts.count, 0).bit_length()
+    # spans are ranges of time, stored so that a retry cannot move an edge
+    first_links = saved(first_links)
+    spans = max(1, -(-first_links.count() // max_links))
+    dealt = first_links.repartitionByRange(spans, *order) if spans > 1 else first_links
+    levels = (spans - 1).bit_length()
     # client nodes are always on the u side
-    e = scan.with_chunk(e, cuts).select(
-        F.col("_chunk").alias("leaf"), *order, "u", "v",
+    e = stored(dealt.withColumn("leaf", F.spark_partition_id() if spans > 1 else F.lit(0)), "spans").select(
+        "leaf", *order, "u", "v",
         F.lit(1).cast("long").alias("uc"), F.lit(1).cast("long").alias("un"),
         F.lit(0).cast("long").alias("vc"), F.lit(1).cast("long").alias("vn"))
     for level in range(levels):
@@ -179,12 +181,11 @@ def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame
 
     rows = scan.chunk_rows(tx.sparkSession)
     order = ["us", "tx_id", "part"]
-    # cut positions: resolve the names of the few sampled transactions only
+    # labels with many rows: resolve the names of the few sampled transactions only
     sample = probe.where(F.pmod(F.xxhash64("us", "tx_id"), F.lit(rows)) == 0)
-    at = named(sample).select("label", *["us", "tx_id"], F.lit(-1).alias("part"))
-    cuts = scan.find_cuts(at, ["label"], order, 1, scan.MIN_CUTS)
+    hot = scan.find_hot(named(sample), ["label"], ["us", "tx_id"], 1)
     probes = named(probe).select("label", "us", "tx_id", F.lit(-1).alias("part"), F.lit(None).cast("struct<clients:bigint,nodes:bigint>").alias("size"))
-    run = scan.running(probes.unionByName(sized), ["label"], order, lasts={"now": "size"}, cuts=cuts)
+    run = scan.running(probes.unionByName(sized), ["label"], order, lasts={"now": "size"}, hot=hot)
     return run.where("part = -1").select(
         "tx_id", F.coalesce(F.col("now.clients"), F.lit(1)).cast("double").alias("component_clients"),
         F.coalesce(F.col("now.nodes"), F.lit(1)).cast("double").alias("component_size"))

@@ -25,11 +25,9 @@ def _entity(kind: str) -> Column:
     return F.concat(F.lit(kind[0] + ":"), F.col(KINDS[kind]))
 
 
-def entity_cuts(tx: DataFrame) -> scan.Cuts:
-    seen = tx.select(
-        "us", F.lit(1).alias("_cls"), "tx_id",
-        F.explode(F.array(*[F.when(F.col(c) != "", _entity(k)) for k, c in KINDS.items()])).alias("ent"))
-    return scan.find_cuts(seen.where(F.col("ent").isNotNull()), ["ent"], ORDER)
+def hot_entities(tx: DataFrame) -> scan.Hot:
+    seen = tx.select("us", "tx_id", F.explode(F.array(*[F.when(F.col(c) != "", _entity(k)) for k, c in KINDS.items()])).alias("ent"))
+    return scan.find_hot(seen.where(F.col("ent").isNotNull()), ["ent"], ["us", "tx_id"])
 
 
 def entity_changes(state: DataFrame) -> DataFrame:
@@ -73,17 +71,18 @@ def entity_changes(state: DataFrame) -> DataFrame:
     return exploded.select("tx_id", "r.*")
 
 
-def entity_features(tx: DataFrame, cuts: scan.Cuts | None = None, client: scan.Cuts | None = None) -> DataFrame:
-    """tx_id with the network counters; transactions without any entity are absent. ``cuts`` are those
-    of the entities, ``client`` those of the clients."""
-    d = normalise(tx).select("tx_id", "timestamp", "us", "client_id", "amount", *KINDS.values(), "city", "country",
-                             "merchant_category", "channel", "tx_type", "is_vpn", "remote_access",
-                             "call_minutes_before", "session_duration_s")
-    changes = entity_changes(client_state(d, cuts=client)).withColumn("_seen", F.when(F.col("_cls") == 1, F.col("us")))
-    # cuts are sampled from the plain transactions, any real positions will do
-    cuts = cuts or entity_cuts(d)
+def entity_features(tx: DataFrame, hot: scan.Hot | None = None, state: DataFrame | None = None) -> DataFrame:
+    """tx_id with the network counters; transactions without any entity are absent. ``hot`` are the entities with many rows, ``state`` is the
+    client pass over ``tx`` if there is one already."""
+    if state is None:
+        state = client_state(normalise(tx).select(
+            "tx_id", "timestamp", "us", "client_id", "amount", *KINDS.values(), "city", "country", "merchant_category", "channel", "tx_type",
+            "is_vpn", "remote_access", "call_minutes_before", "session_duration_s"))
+    changes = entity_changes(state).withColumn("_seen", F.when(F.col("_cls") == 1, F.col("us")))
+    # looked for among the plain transactions: their entities have the most changes too
+    hot = hot or hot_entities(normalise(tx))
     sums = {"r_total": "total", "r_day": "day", "r_week": "week", "r_count": "count", "r_money": "money"}
-    run = scan.running(changes, ["ent"], ORDER, sums=sums, mins={"r_first": "_seen"}, cuts=cuts)
+    run = scan.running(changes, ["ent"], ORDER, sums=sums, mins={"r_first": "_seen"}, hot=hot)
     run = run.where(F.col("_cls") == 1)
 
     def pick(kind: str, c):
@@ -119,7 +118,7 @@ WITHOUT_ENTITY = {
 }
 
 
-def with_entity_features(df: DataFrame, tx: DataFrame, client: scan.Cuts | None = None) -> DataFrame:
+def with_entity_features(df: DataFrame, tx: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Add the network counters of ``tx`` to rows with its tx_id."""
-    out = df.join(entity_features(tx, client=client), "tx_id", "left")
+    out = df.join(entity_features(tx, state=state), "tx_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in WITHOUT_ENTITY.items()})

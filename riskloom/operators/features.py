@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from riskloom.operators.client_features import client_cuts, client_features, client_state
+from riskloom.functions.storage import stored
+from riskloom.operators.client_features import client_features, client_state
 from riskloom.operators.components import component_features
 from riskloom.operators.entity_features import with_entity_features
 from riskloom.sources.schema import FEATURES
@@ -14,10 +15,12 @@ from riskloom.sources.transactions import normalise
 def feature_frame(tx: DataFrame, profiles: DataFrame, places: DataFrame, network: bool = True,
                   components: bool = True) -> DataFrame:
     """The transactions with their features; the network and graph parts can be left out."""
-    cuts = client_cuts(tx)
-    d = client_features(client_state(tx, profiles, places, cuts))
+    state = client_state(tx, profiles, places)
     if network:
-        d = with_entity_features(d, tx, cuts)
+        state = stored(state, "client-state")  # the network pass reads it too
+    d = client_features(state)
+    if network:
+        d = with_entity_features(d, tx, state)
     if components:
         d = d.join(component_features(normalise(tx)), "tx_id")
     return d

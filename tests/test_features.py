@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.client_features import client_cuts
+from riskloom.operators.client_features import hot_clients
 from riskloom.operators.components import component_features
 from riskloom.operators.features import feature_frame
 from riskloom.sources import fixtures as X
@@ -126,12 +126,12 @@ def test_one_client_device_and_recipient_with_a_third_of_all_rows(spark):
     got = []
     for rows in ("100000000", "40"):
         spark.conf.set("spark.riskloom.chunkRows", rows)
-        cuts = client_cuts(tx)
-        assert (cuts.table is None) == (rows != "40")
+        hot = hot_clients(tx)
+        assert (hot.table is None) == (rows != "40")
         d = feature_frame(tx, X.profiles(spark, sf), X.places(spark, sf), components=False)
         got.append(d.select("tx_id", *[f for f in FEATURES if not f.startswith("component")]).toPandas().set_index("tx_id").sort_index())
     spark.conf.unset("spark.riskloom.chunkRows")
-    assert 7 in [r.client_id for r in cuts.table.collect()]
+    assert 7 in [r.client_id for r in hot.table.collect()]
     pd.testing.assert_frame_equal(got[0], got[1], check_dtype=False)
 
 

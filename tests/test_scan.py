@@ -33,20 +33,20 @@ def expected(pdf):
 @pytest.mark.parametrize("rows", [10_000_000, 50, 5])
 def test_running_is_the_same_for_any_chunk_size(skewed, rows):
     pdf, df = skewed
-    cuts = scan.find_cuts(df, ["key"], ["t", "id"], rows)
-    assert (cuts.table is None) == (rows == 10_000_000)
-    r = scan.running(df, ["key"], ["t", "id"], sums={"s": "x"}, mins={"lo": "x"}, maxs={"hi": "x"}, lasts={"last": "x"}, cuts=cuts)
+    hot = scan.find_hot(df, ["key"], ["t", "id"], rows)
+    assert (hot.table is None) == (rows == 10_000_000)
+    r = scan.running(df, ["key"], ["t", "id"], sums={"s": "x"}, mins={"lo": "x"}, maxs={"hi": "x"}, lasts={"last": "x"}, hot=hot)
     got = r.select("id", "s", "lo", "hi", "last").toPandas().set_index("id").sort_index()
     pd.testing.assert_frame_equal(got, expected(pdf), check_dtype=False)
 
 
 def test_hot_key_is_spread_over_chunks(skewed):
     _, df = skewed
-    cuts = scan.find_cuts(df, ["key"], ["t", "id"], 50)
-    sizes = scan.with_chunk(df, cuts).groupBy("key", "_chunk").count().where("key = 'hot'").toPandas()["count"]
+    hot = scan.find_hot(df, ["key"], ["t", "id"], 50)
+    sizes = scan.chunked(df, hot, ["t", "id"]).groupBy("key", "_chunk").count().where("key = 'hot'").toPandas()["count"]
     assert len(sizes) > 8 and sizes.max() < 400 and sizes.sum() > 900
     # nearly all of the 300 keys of ten rows are left alone
-    assert cuts.table.count() <= 5
+    assert hot.table.count() <= 5
 
 
 def test_global_index(skewed):
