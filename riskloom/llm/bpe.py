@@ -178,7 +178,12 @@ class Automaton:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return spelled(self.labels, ids)
+
+
+def spelled(labels: list[bytes], ids: Iterable[int]) -> str:
+    """The labels of some tokens put together."""
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _byte_tree(labels: dict[int, bytes]) -> tuple[dict[int, int], list[int]]:
@@ -324,7 +329,7 @@ def encode(docs: DataFrame, automaton: Automaton, doc_id: str = "doc_id", text:
 
 def decode(encoded: DataFrame, automaton: Automaton, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and the text that the tokens spell; null tokens spell a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(automaton)
+    shared = encoded.sparkSession.sparkContext.broadcast(automaton.labels)  # as large as the vocabulary
     schema = T.StructType([f for f in encoded.schema if f.name != name] + [T.StructField(name, T.StringType())])
     place = encoded.columns.index(ids)
 
@@ -333,7 +338,7 @@ def decode(encoded: DataFrame, automaton: Automaton, ids: str = "ids", name: str
             for i in range(0, batch.num_rows, ROWS):
                 b = batch.slice(i, ROWS)
                 rows = (b.column(place)[k] for k in range(b.num_rows))
-                texts = [shared.value.decode(r.values.to_pylist()) if r.is_valid else None for r in rows]
+                texts = [spelled(shared.value, r.values.to_pylist()) if r.is_valid else None for r in rows]
                 kept = [c for c, f in zip(b.columns, b.schema) if f.name != name]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=schema.names)
 
