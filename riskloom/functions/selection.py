@@ -1,9 +1,9 @@
 """Values at given ranks, without sorting: histograms of ever finer cells.
 
 Numbers are mapped to 64-bit keys of the same order. A pass counts the rows in cells, runs of keys with the same leading
-bits, and only cells that hold a wanted rank are cut further in the next pass; after a few passes a cell is one value. All columns share
-a pass, which moves one row per task and cell that is not empty; at most ``CELLS`` cells are counted at once, whatever the size of the table and however its
-values are spread. Nothing is estimated: the values are exact, with the number of rows below and at them.
+bits, with their least and largest key, and only cells that hold a wanted rank and more than one value are cut further in the next pass. Once the open cells have
+``CELLS`` rows at most, these are counted by value instead. All columns share a pass, which moves one row per task and cell that is not empty; at most
+``CELLS`` cells are counted at once, whatever the size of the table and however its values are spread. Nothing is estimated: the values are exact, with the number of rows below and at them.
 
 Nulls and NaN have no rank. -0.0 counts as 0.0.
 """
@@ -60,6 +60,7 @@ class _Open:
     cells: np.ndarray
     below: list[int]
     wanted: list[list[int]]
+    rows: int
 
 
 def _numeric(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, list[bool]]:
@@ -69,28 +70,55 @@ def _numeric(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, list
                       for c, r in zip(d.columns, real)]), real
 
 
-def _counted(d: DataFrame, open_: dict[int, _Open], bits: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """(column, place of its cell, finer cell, rows); one pass."""
+def _counted(d: DataFrame, open_: dict[int, _Open], bits: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(column, place of its cell, finer cell, rows, least key, largest key), in order; one pass."""
     names = [f"c{i}" for i in open_]
     plan = [(i, o.cells, o.rest, bits[i]) for i, o in open_.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(len(cells) << b, np.int64) for _, cells, _, b in plan]
+        least = [np.full(len(t), ~np.uint64(0)) for t in totals]
+        most = [np.zeros(len(t), np.uint64) for t in totals]
         for batch in batches:
-            for total, column, (_, cells, rest, b) in zip(totals, batch.columns, plan):
+            for total, low, high, column, (_, cells, rest, b) in zip(totals, least, most, batch.columns, plan):
                 keys = ordered_keys(column.drop_null().to_numpy(zero_copy_only=False))
-                leading = keys >> np.uint64(rest)
+                leading = keys >> np.uint64(rest) if rest < 64 else np.zeros(len(keys), np.uint64)
                 place = np.minimum(np.searchsorted(cells, leading), len(cells) - 1)
                 inside = cells[place] == leading
-                finer = (keys[inside] >> np.uint64(rest - b)) & np.uint64((1 << b) - 1)
-                total += np.bincount((place[inside] << b) + finer.astype(np.int64), minlength=len(total))
-        for total, (i, _, _, b) in zip(totals, plan):
+                kept = keys[inside]
+                at = (place[inside] << b) + ((kept >> np.uint64(rest - b)) & np.uint64((1 << b) - 1)).astype(np.int64)
+                total += np.bincount(at, minlength=len(total))
+                np.minimum.at(low, at, kept)
+                np.maximum.at(high, at, kept)
+        for total, low, high, (i, _, _, b) in zip(totals, least, most, plan):
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at >> b), pa.array(at & ((1 << b) - 1)), pa.array(total[at])],
-                                             names=["column", "place", "cell", "n"])
+            # as signed numbers in the same order
+            signed = [pa.array((x[at] ^ SIGN).view(np.int64)) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at >> b), pa.array(at & ((1 << b) - 1)), pa.array(total[at]), *signed],
+                                             names=["column", "place", "cell", "n", "low", "high"])
 
-    parts = d.select(*names).mapInArrow(run, "column long, place long, cell long, n long")
-    return [tuple(r) for r in parts.groupBy("column", "place", "cell").agg(F.sum("n")).orderBy("column", "place", "cell").collect()]  # CELLS rows at most
+    parts = d.select(*names).mapInArrow(run, "column long, place long, cell long, n long, low long, high long")
+    merged = parts.groupBy("column", "place", "cell").agg(F.sum("n"), F.min("low"), F.max("high")).orderBy("column", "place", "cell")
+    return [(i, p, c, n, low + (1 << 63), high + (1 << 63)) for i, p, c, n, low, high in merged.collect()]  # CELLS rows at most
+
+
+def _by_value(d: DataFrame, open_: dict[int, _Open]) -> list[tuple[int, int, int, int]]:
+    """(column, place of its cell, key, rows) of all rows in the open cells, in order; called for few rows."""
+    names = [f"c{i}" for i in open_]
+    plan = [(i, o.cells, o.rest) for i, o in open_.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column, (i, cells, rest) in zip(batch.columns, plan):
+                keys = ordered_keys(column.drop_null().to_numpy(zero_copy_only=False))
+                leading = keys >> np.uint64(rest) if rest < 64 else np.zeros(len(keys), np.uint64)
+                place = np.minimum(np.searchsorted(cells, leading), len(cells) - 1)
+                inside = cells[place] == leading
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(inside.sum()), i, np.int64)), pa.array(place[inside]), pa.array((keys[inside] ^ SIGN).view(np.int64))],
+                                                 names=["column", "place", "key"])
+
+    parts = d.select(*names).mapInArrow(run, "column long, place long, key long").groupBy("column", "place", "key").agg(F.count("*").alias("n"))
+    return [(i, p, k + (1 << 63), n) for i, p, k, n in parts.orderBy("column", "place", "key").collect()]  # CELLS rows at most
 
 
 def values_at(df: DataFrame, columns: dict[str, Column], ranks: Callable[[str, int], list[int]]) -> dict[str, tuple[int, dict[int, Found]]]:
@@ -106,41 +134,36 @@ def values_at(df: DataFrame, columns: dict[str, Column], ranks: Callable[[str, i
         out[name] = (n, {})
         if wanted:
             a, b = (int(ordered_keys(np.array([x], np.float64 if real[i] else np.int64))[0]) for x in (low, high))
-            rest = min((a ^ b).bit_length(), 63)
-            cells = sorted({a >> rest, b >> rest})
-            if len(cells) == 2:  # keys on both sides of the middle
-                open_[i] = _Open(real[i], 64, np.array([0], np.uint64), [0], [wanted])
-            else:
-                open_[i] = _Open(real[i], rest, np.array(cells, np.uint64), [0], [wanted])
-                if not rest:
-                    out[name][1].update({r: Found(value_of(a, real[i]), 0, n) for r in wanted})
-                    del open_[i]
+            if a == b:
+                out[name][1].update({r: Found(value_of(a, real[i]), 0, n) for r in wanted})
+                continue
+            rest = (a ^ b).bit_length()
+            open_[i] = _Open(real[i], rest, np.array([a >> rest], np.uint64), [0], [wanted], n)
+    names = list(columns)
     while open_:
+        few = sum(o.rows for o in open_.values()) <= CELLS
         share = CELLS // sum(len(o.cells) for o in open_.values())
         most = max(LEAST_BITS, min(MOST_BITS, share.bit_length() - 1))
         bits = {i: min(most, o.rest) for i, o in open_.items()}
-        seen = _counted(d, open_, bits)
-        names = list(columns)
-        after = {i: _Open(o.real, o.rest - bits[i], np.zeros(0, np.uint64), [], []) for i, o in open_.items()}
-        found_cells: dict[int, list[int]] = {i: [] for i in open_}
+        seen = [(i, p, k, n, k, k) for i, p, k, n in _by_value(d, open_)] if few else _counted(d, open_, bits)
+        after = {i: _Open(o.real, o.rest - bits[i], np.zeros(0, np.uint64), [], [], 0) for i, o in open_.items()}
+        cells: dict[int, list[int]] = {i: [] for i in open_}
         reached: dict[tuple[int, int], int] = {}
-        for i, place, cell, n in seen:
+        for i, place, _, n, low, high in seen:
             o = open_[i]
             start = reached.get((i, place), o.below[place])
             reached[i, place] = start + n
             inside = [r for r in o.wanted[place] if start <= r < start + n]
-            if not inside:
-                continue
-            key = int(o.cells[place]) << bits[i] | cell
-            if after[i].rest:
-                found_cells[i].append(key)
+            if inside and low == high:
+                out[names[i]][1].update({r: Found(value_of(low, o.real), start, n) for r in inside})
+            elif inside:
+                cells[i].append(low >> after[i].rest)
                 after[i].below.append(start)
                 after[i].wanted.append(inside)
-            else:
-                out[names[i]][1].update({r: Found(value_of(key, o.real), start, n) for r in inside})
-        for i, keys in found_cells.items():
-            after[i].cells = np.array(keys, np.uint64)
-        open_ = {i: o for i, o in after.items() if o.rest and len(o.cells)}
+                after[i].rows += n
+        for i, found in cells.items():
+            after[i].cells = np.array(found, np.uint64)
+        open_ = {i: o for i, o in after.items() if len(o.cells)}
     return out
 
 
