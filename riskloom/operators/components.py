@@ -38,14 +38,22 @@ def client_node(name: str = "client_id"):
     return F.xxhash64(F.lit("client"), F.col(name).cast("string"))
 
 
-def links(tx: DataFrame) -> DataFrame:
-    """First use of each (client, entity) pair: u (client node), v (entity node), us, tx_id, part.
-    ``part`` orders the links one transaction adds."""
+def entity_nodes():
+    """The entities of a transaction: array of (v, part)."""
     parts = [F.when(F.col(c) != "", F.struct(
         F.xxhash64(F.lit("entity"), _entity(k)).alias("v"), F.lit(i).alias("part")))
         for i, (k, c) in enumerate(KINDS.items())]
-    e = F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("e")
-    return (tx.select(client_node().alias("u"), "us", "tx_id", e)
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+# what a client node (u) and an entity node (v) count before they are linked
+ALONE = {"uc": 1, "un": 1, "vc": 0, "vn": 1}
+
+
+def links(tx: DataFrame) -> DataFrame:
+    """First use of each (client, entity) pair: u (client node), v (entity node), us, tx_id, part.
+    ``part`` orders the links one transaction adds."""
+    return (tx.select(client_node().alias("u"), "us", "tx_id", F.explode(entity_nodes()).alias("e"))
             .groupBy("u", F.col("e.v").alias("v"))
             .agg(F.min(F.struct("us", "tx_id", "e.part")).alias("at"))
             .select("u", "v", "at.us", "at.tx_id", "at.part"))
@@ -106,7 +114,7 @@ def _replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     """The merge log: at (us, tx_id, part) component ``gone`` joined ``kept``, which then has
-    ``clients`` clients and ``nodes`` nodes."""
+    ``clients`` clients and ``nodes`` nodes. Nodes that stand for more than themselves come with their sizes (uc, un, vc, vn)."""
     spark = first_links.sparkSession
     max_links = max_links or span_links(spark)
     order = ["us", "tx_id", "part"]
@@ -117,9 +125,7 @@ def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     levels = (spans - 1).bit_length()
     # client nodes are always on the u side
     e = stored(dealt.withColumn("leaf", F.spark_partition_id() if spans > 1 else F.lit(0)), "spans").select(
-        "leaf", *order, "u", "v",
-        F.lit(1).cast("long").alias("uc"), F.lit(1).cast("long").alias("un"),
-        F.lit(0).cast("long").alias("vc"), F.lit(1).cast("long").alias("vn"))
+        "leaf", *order, "u", "v", *[(F.col(c) if c in first_links.columns else F.lit(n)).cast("long").alias(c) for c, n in ALONE.items()])
     for level in range(levels):
         half = 1 << (levels - 1 - level)
         span = F.floor(F.col("leaf") / (2 * half)).cast("long")
@@ -164,28 +170,32 @@ def name_history(merge_log: DataFrame) -> DataFrame:
             return cur
 
 
-def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame:
-    """tx_id, component_clients, component_size: the component of the client before the transaction."""
-    d = tx.select("tx_id", "us", "client_id", *KINDS.values())
-    first = links(d)
-    log = merges(first, max_links)
+def sizes_before(log: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (node, us, tx_id, further columns) with ``label``, ``clients`` and ``nodes`` of the node's component before that position; the
+    sizes are null for a node that no link has touched by then."""
     names = name_history(log)
-    probe = d.select("tx_id", "us", client_node().alias("node"))
-    sized = log.select(F.col("kept").alias("label"), "us", "tx_id", "part", F.struct("clients", "nodes").alias("size"))
+    order = ["us", "tx_id", "part"]
+    extra = [c for c in probes.columns if c not in ("node", "us", "tx_id")]
+    sized = log.select(F.col("kept").alias("label"), *order, F.struct("clients", "nodes").alias("size"))
 
     def named(p: DataFrame) -> DataFrame:
-        """Component name before the transaction: the last renaming at an earlier position."""
+        """Component name before the position: the last renaming at an earlier one."""
         earlier = F.filter("names", lambda x: (x["us"] < F.col("us")) | ((x["us"] == F.col("us")) & (x["tx_id"] < F.col("tx_id"))))
         p = p.join(names, "node", "left")
-        return p.select("tx_id", "us", F.coalesce(F.try_element_at(earlier, F.lit(-1))["label"], F.col("node")).alias("label"))
+        return p.select("us", "tx_id", *extra, "node", F.coalesce(F.try_element_at(earlier, F.lit(-1))["label"], F.col("node")).alias("label"))
 
-    rows = scan.chunk_rows(tx.sparkSession)
-    order = ["us", "tx_id", "part"]
-    # labels with many rows: resolve the names of the few sampled transactions only
-    sample = probe.where(F.pmod(F.xxhash64("us", "tx_id"), F.lit(rows)) == 0)
-    hot = scan.find_hot(named(sample), ["label"], ["us", "tx_id"], 1)
-    probes = named(probe).select("label", "us", "tx_id", F.lit(-1).alias("part"), F.lit(None).cast("struct<clients:bigint,nodes:bigint>").alias("size"))
-    run = scan.running(probes.unionByName(sized), ["label"], order, lasts={"now": "size"}, hot=hot)
-    return run.where("part = -1").select(
-        "tx_id", F.coalesce(F.col("now.clients"), F.lit(1)).cast("double").alias("component_clients"),
-        F.coalesce(F.col("now.nodes"), F.lit(1)).cast("double").alias("component_size"))
+    # labels with many rows: resolve the names of the few sampled probes only
+    rows = scan.chunk_rows(log.sparkSession)
+    sample = probes.where(F.pmod(F.xxhash64("us", "tx_id", "node"), F.lit(rows)) == 0)
+    hot = scan.find_hot(named(sample), ["label"], ["us", "tx_id", "node"], 1)
+    asked = named(probes).withColumns({"part": F.lit(-1), "size": F.lit(None).cast("struct<clients:bigint,nodes:bigint>")})
+    run = scan.running(asked.unionByName(sized, allowMissingColumns=True), ["label"], order, lasts={"now": "size"}, hot=hot)
+    return run.where("part = -1").select("us", "tx_id", *extra, "node", "label", F.col("now.clients").alias("clients"), F.col("now.nodes").alias("nodes"))
+
+
+def component_features(tx: DataFrame, max_links: int | None = None) -> DataFrame:
+    """tx_id, component_clients, component_size: the component of the client before the transaction."""
+    d = tx.select("tx_id", "us", "client_id", *KINDS.values())
+    found = sizes_before(merges(links(d), max_links), d.select("tx_id", "us", client_node().alias("node")))
+    return found.select("tx_id", F.coalesce("clients", F.lit(1)).cast("double").alias("component_clients"),
+                        F.coalesce("nodes", F.lit(1)).cast("double").alias("component_size"))

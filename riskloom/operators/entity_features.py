@@ -30,8 +30,8 @@ def hot_entities(tx: DataFrame) -> scan.Hot:
     return scan.find_hot(seen.where(F.col("ent").isNotNull()), ["ent"], ["us", "tx_id"])
 
 
-def entity_changes(state: DataFrame) -> DataFrame:
-    """One row per sighting, plus one per session or amount that runs out later."""
+def entity_changes(state: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
+    """One row per sighting, plus one per session or amount that runs out later, with the columns to ``keep``."""
 
     def row(kind: str, us: Column, cls: int, total=0, day=0, week=0, count=0, money=None) -> Column:
         def num(x):
@@ -67,8 +67,35 @@ def entity_changes(state: DataFrame) -> DataFrame:
                 F.when(there, row(kind, us, 1, new, starts(DAY_US))),
                 F.when(there & (ends(DAY_US) == -1), row(kind, us + (DAY_US + 1), 0, day=-1)),
             ]
-    exploded = state.select("tx_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
-    return exploded.select("tx_id", "r.*")
+    exploded = state.select(*keep, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
+    return exploded.select(*keep, "r.*")
+
+
+SUMS = {"r_total": "total", "r_day": "day", "r_week": "week", "r_count": "count", "r_money": "money"}
+
+
+def counters(run: DataFrame, keys: list[str]) -> DataFrame:
+    """The network counters per ``keys`` from running sums (``kind``, ``us``, ``r_...``); of several rows of a kind the sums add up."""
+    def pick(kind: str, c, agg=F.sum):
+        return agg(F.when(F.col("kind") == kind, F.col(c)))
+
+    def at_least_one(kind: str, c):
+        return F.greatest(pick(kind, c).cast("double"), F.when(pick(kind, c).isNotNull(), F.lit(1.0)))
+
+    there, first = pick("recipient", "us", F.max), pick("recipient", "r_first", F.min)
+    return run.groupBy(*keys).agg(
+        at_least_one("device", "r_total").alias("clients_per_device"),
+        at_least_one("ip", "r_total").alias("clients_per_ip"),
+        at_least_one("recipient", "r_total").alias("clients_per_recipient"),
+        pick("recipient", "r_day").cast("double").alias("recipient_clients_24h"),
+        pick("recipient", "r_week").cast("double").alias("recipient_clients_7d"),
+        pick("recipient", "r_count").cast("double").alias("recipient_inbound_24h"),
+        F.log1p(pick("recipient", "r_money").cast("double")).alias("recipient_amount_24h"),
+        F.when(there.isNotNull(), F.coalesce((there - first) / float(DAY_US), F.lit(0.0))).alias("recipient_age_days"),
+        F.when(there.isNotNull(), F.when(first.isNull(), F.lit(1.0)).otherwise(F.lit(0.0))).alias("recipient_is_new_to_bank"),
+        at_least_one("device", "r_day").alias("device_clients_24h"),
+        at_least_one("ip", "r_day").alias("ip_clients_24h"),
+    )
 
 
 def entity_features(tx: DataFrame, hot: scan.Hot | None = None, state: DataFrame | None = None) -> DataFrame:
@@ -81,32 +108,8 @@ def entity_features(tx: DataFrame, hot: scan.Hot | None = None, state: DataFrame
     changes = entity_changes(state).withColumn("_seen", F.when(F.col("_cls") == 1, F.col("us")))
     # looked for among the plain transactions: their entities have the most changes too
     hot = hot or hot_entities(normalise(tx))
-    sums = {"r_total": "total", "r_day": "day", "r_week": "week", "r_count": "count", "r_money": "money"}
-    run = scan.running(changes, ["ent"], ORDER, sums=sums, mins={"r_first": "_seen"}, hot=hot)
-    run = run.where(F.col("_cls") == 1)
-
-    def pick(kind: str, c):
-        return F.max(F.when(F.col("kind") == kind, c))
-
-    def at_least_one(name):
-        return F.greatest(F.col(name).cast("double"), F.lit(1.0))
-
-    first = F.col("r_first")
-    return run.groupBy("tx_id").agg(
-        pick("device", at_least_one("r_total")).alias("clients_per_device"),
-        pick("ip", at_least_one("r_total")).alias("clients_per_ip"),
-        pick("recipient", at_least_one("r_total")).alias("clients_per_recipient"),
-        pick("recipient", F.col("r_day").cast("double")).alias("recipient_clients_24h"),
-        pick("recipient", F.col("r_week").cast("double")).alias("recipient_clients_7d"),
-        pick("recipient", F.col("r_count").cast("double")).alias("recipient_inbound_24h"),
-        pick("recipient", F.log1p(F.col("r_money").cast("double"))).alias("recipient_amount_24h"),
-        pick("recipient", F.coalesce((F.col("us") - first) / float(DAY_US), F.lit(0.0)))
-        .alias("recipient_age_days"),
-        pick("recipient", F.when(first.isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
-        .alias("recipient_is_new_to_bank"),
-        pick("device", at_least_one("r_day")).alias("device_clients_24h"),
-        pick("ip", at_least_one("r_day")).alias("ip_clients_24h"),
-    )
+    run = scan.running(changes, ["ent"], ORDER, sums=SUMS, mins={"r_first": "_seen"}, hot=hot)
+    return counters(run.where(F.col("_cls") == 1), ["tx_id"])
 
 
 # value of each network counter when the transaction names no such entity
@@ -120,5 +123,8 @@ WITHOUT_ENTITY = {
 
 def with_entity_features(df: DataFrame, tx: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Add the network counters of ``tx`` to rows with its tx_id."""
-    out = df.join(entity_features(tx, state=state), "tx_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in WITHOUT_ENTITY.items()})
+    return filled(df.join(entity_features(tx, state=state), "tx_id", "left"))
+
+
+def filled(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in WITHOUT_ENTITY.items()})

@@ -200,15 +200,15 @@ for _k, _cols in CLIENT_KEYS.items():
     oracle(_k, f"SELECT tx_id, {rs(_cols)} FROM fclient", "fclient")
 
 
-def network(name: str, src: str) -> None:
-    """Counters by looking back at every earlier sighting of the same entity."""
-    def seen(col, more=""):
-        return (f"FROM {src} t JOIN {src} p ON p.{col} = t.{col} AND t.{col} <> '' "
+def network(name: str, src: str, past: str | None = None, more: str = "") -> None:
+    """Counters by looking back at every earlier sighting of the same entity in ``past``."""
+    def seen(col):
+        return (f"FROM {src} t JOIN {past or src} p ON p.{col} = t.{col} AND t.{col} <> '' "
                 f"AND (p.us < t.us OR (p.us = t.us AND p.tx_id < t.tx_id)) {more} GROUP BY t.tx_id")
 
     d24 = f"FILTER (p.us >= t.us - {DAY})"
     d7 = f"FILTER (p.us >= t.us - {7 * DAY})"
-    cte(name, [src], f"""SELECT t.tx_id, greatest(coalesce(d.c, 0), 1) + CAST(0 AS DOUBLE) AS clients_per_device,
+    cte(name, [src] + ([past] if past else []), f"""SELECT t.tx_id, greatest(coalesce(d.c, 0), 1) + CAST(0 AS DOUBLE) AS clients_per_device,
  greatest(coalesce(i.c, 0), 1) + CAST(0 AS DOUBLE) AS clients_per_ip,
  CASE WHEN t.recipient_id = '' THEN 0 ELSE greatest(coalesce(q.c, 0), 1) END + CAST(0 AS DOUBLE) AS clients_per_recipient,
  coalesce(q.c24, 0) + CAST(0 AS DOUBLE) AS recipient_clients_24h, coalesce(q.c7, 0) + CAST(0 AS DOUBLE) AS recipient_clients_7d,
@@ -634,10 +634,32 @@ UNION ALL SELECT tx_id, NULL, NULL, action, NULL, NULL, CASE action WHEN 'allow'
  WHERE tx_id NOT IN (SELECT tx_id FROM changes)""", "changes", "dec_fb")
 
 # ------------------------------------------------------------------ replay and wording of the gate
-cte("late", ["dec_fb"], f"SELECT * FROM dec_fb WHERE us >= (SELECT max(us) FROM dec_fb) - {2 * DAY}")
+# A step sees the history of all clients and the late steps of its own client. Components: those of the history, joined by the client's own late steps.
+cte("cutoff", ["tx"], f"SELECT max(us) - {2 * DAY} AS c FROM tx")
+cte("later", ["tx", "cutoff"], "SELECT tx.* FROM tx, cutoff WHERE us >= c")
+cte("marked", ["tx", "cutoff"], "SELECT tx.*, us >= c AS late FROM tx, cutoff")
+network("fnet_replay", "later", "marked", "AND (NOT p.late OR p.client_id = t.client_id)")
+cte("old_link", ["marked"], """SELECT DISTINCT concat('c:', client_id) AS a, b FROM (
+ SELECT client_id, concat('d:', device_id) AS b FROM marked WHERE NOT late UNION ALL SELECT client_id, concat('i:', ip) FROM marked WHERE NOT late
+ UNION ALL SELECT client_id, concat('r:', recipient_id) FROM marked WHERE NOT late AND recipient_id <> '')""")
+cte("o0", ["old_link"], """SELECT a, b FROM old_link UNION SELECT b, a FROM old_link
+ UNION SELECT x, x FROM (SELECT a AS x FROM old_link UNION SELECT b FROM old_link)""")
+for _i in range(1, 6):
+    cte(f"o{_i}", [f"o{_i - 1}"], f"SELECT DISTINCT x.a, y.b FROM o{_i - 1} x JOIN o{_i - 1} y ON x.b = y.a")
+cte("old_comp", ["o5"], "SELECT a AS node, min(b) AS label, count(*) AS n, count(*) FILTER (b LIKE 'c:%') AS c FROM o5 GROUP BY a")
+cte("late_nodes", ["later"], """SELECT t.tx_id, concat('c:', t.client_id) AS node FROM later t
+ UNION SELECT t.tx_id, unnest([concat('d:', p.device_id), concat('i:', p.ip), CASE WHEN p.recipient_id <> '' THEN concat('r:', p.recipient_id) END])
+ FROM later t JOIN later p ON p.client_id = t.client_id AND (p.us < t.us OR (p.us = t.us AND p.tx_id < t.tx_id))""")
+cte("fcomp_replay", ["late_nodes", "old_comp"], """SELECT tx_id, CAST(sum(c) AS DOUBLE) AS component_clients, CAST(sum(n) AS DOUBLE) AS component_size FROM (
+ SELECT DISTINCT l.tx_id, coalesce(label, l.node) AS label, coalesce(c, CASE WHEN l.node LIKE 'c:%' THEN 1 ELSE 0 END) AS c, coalesce(n, 1) AS n
+ FROM late_nodes l LEFT JOIN old_comp o ON o.node = l.node WHERE l.node IS NOT NULL) GROUP BY tx_id""")
+cte("replayed", ["scored", "fnet_replay", "fcomp_replay", "fclient"], f"""SELECT * REPLACE (least(p_fraud / 2 + tx_count_24h / 40 + recipient_clients_24h / 200 + clients_per_device / 1000
+ + component_clients / 10000, {dbl(0.99)}) AS p_fraud) FROM scored JOIN fnet_replay USING (tx_id) JOIN fcomp_replay USING (tx_id)
+ JOIN (SELECT tx_id, tx_count_24h, amount_to_avg, history_len FROM fclient) USING (tx_id)""")
+cte("late_dec", ["replayed"], f"SELECT *, {best()} AS action FROM (SELECT *, {costs(clv=clv_amount())} FROM replayed)")
+PEAKS = ["tx_count_24h", "amount_to_avg", "history_len", *NETWORK_FEATURES]
 oracle("replay_sequence", f"""SELECT client_id AS scenario_id, count(*) AS steps, arg_max(action, (us, tx_id)) AS final_action, {r('max(p_fraud)', 'max_p_fraud')},
- {r('sum(amount)', 'total_amount')}, {r('max(f.tx_count_24h)', 'max_tx_count_24h')}, {r('max(f.amount_to_avg)', 'max_amount_to_avg')},
- {r('max(f.history_len)', 'max_history_len')} FROM late JOIN fclient f USING (tx_id) GROUP BY client_id""", "late", "fclient")
+ {r('sum(amount)', 'total_amount')}, {', '.join(r(f'max({f})', f'max_{f}') for f in PEAKS)} FROM late_dec GROUP BY client_id""", "late_dec")
 
 
 def gate_text() -> str:
