@@ -445,6 +445,26 @@ def dominant_kind(spark, sf):
     return X.scored_events(spark, sf).select("tx_id", models.dominant_kind().alias("dominant_kind"))
 
 
+@query
+def calibration_chain(spark, sf):
+    """Supervised and anomaly scores of the test slice as probabilities, the second one capped, and both fused and calibrated again; fitted on the
+    validation slice. Stand-in scores: most fall between those of the validation slice or outside them."""
+    d = X.scored_events(spark, sf).withColumns({
+        "p_raw": F.when(F.col("us") % 3 == 0, F.col("p_fraud") * F.col("p_fraud")).otherwise(F.col("p_fraud") * 0.9 + 0.05),
+        "anomaly_score": (F.col("k") * 7 % 50 + F.col("is_fraud") * 10).cast("double") / 64})
+    d = stored(metrics.time_split(d).select("tx_id", "is_fraud", "split", "p_raw", "anomaly_score"), "chain")
+    # the validation slice lacks a good part of the scores
+    valid = d.where("split = 'valid' AND tx_id % 5 <> 0")
+    supervised = models.fit_isotonic(valid, "p_raw")
+    first = models.apply_isotonic(valid, supervised, "p_raw", "p_supervised")
+    anomalous, final = models.fit_fusion(first, anomaly.DEFAULT_CAP)
+    d = models.apply_isotonic(d.where("split = 'test'"), supervised, "p_raw", "p_supervised")
+    d = models.apply_isotonic(d, anomalous, "anomaly_score", "p_anomaly", anomaly.DEFAULT_CAP)
+    d = d.withColumn("_fused", anomaly.noisy_or(F.col("p_supervised"), F.col("p_anomaly")))
+    d = models.apply_isotonic(d, final, "_fused", "p_fraud")
+    return rounded(d.select("tx_id", "p_supervised", "p_anomaly", "p_fraud"))
+
+
 @query
 def noisy_or(spark, sf):
     """An anomaly probability up to the cap joined to the supervised one by "or"."""

@@ -634,6 +634,39 @@ UNION ALL SELECT tx_id, NULL, NULL, action, NULL, NULL, CASE action WHEN 'allow'
  WHERE tx_id NOT IN (SELECT tx_id FROM changes)""", "changes", "dec_fb")
 
 # ------------------------------------------------------------------ replay and wording of the gate
+def isotonic(name: str, src: str, x: str) -> None:
+    """The monotone fit of is_fraud on the distinct values of ``x``: the slope of the lower convex hull of the cumulative diagram,
+    as the largest of the least mean of any run of values that holds the value."""
+    cte(f"{name}_at", [src], f"""SELECT i, x, sum(y) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw FROM (
+ SELECT row_number() OVER (ORDER BY {x}) AS i, {x} AS x, CAST(sum(is_fraud) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM {src} GROUP BY {x})""")
+    cte(f"{name}_low", [f"{name}_at"], f"""SELECT j, i, min(slope) OVER (PARTITION BY j ORDER BY i DESC) AS low FROM (
+ SELECT j.i AS j, k.i AS i, (k.cy - coalesce(h.cy, 0)) / (k.cw - coalesce(h.cw, 0)) AS slope
+ FROM {name}_at j LEFT JOIN {name}_at h ON h.i = j.i - 1 JOIN {name}_at k ON k.i >= j.i)""")
+    cte(name, [f"{name}_low", f"{name}_at"], f"SELECT x, max(low) AS p FROM {name}_low JOIN {name}_at USING (i) GROUP BY x")
+
+
+def mapped(src: str, fit: str, x: str, out: str, high: float = 1.0) -> str:
+    """Rows of ``src`` with the fit at ``x``: between its values in a straight line, beyond them as at the last one."""
+    return f"""SELECT s.*, least(greatest(CASE WHEN a.x IS NULL THEN b.p WHEN b.x IS NULL OR a.x = b.x THEN a.p
+ ELSE a.p + (b.p - a.p) * (s.{x} - a.x) / (b.x - a.x) END, 0), {dbl(high)}) AS {out}
+FROM {src} s ASOF LEFT JOIN {fit} a ON s.{x} >= a.x ASOF LEFT JOIN {fit} b ON s.{x} <= b.x"""
+
+
+cte("chain", ["scored"], """SELECT tx_id, is_fraud, CASE WHEN us % 3 = 0 THEN p_fraud * p_fraud ELSE p_fraud * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE) END AS p_raw,
+ CAST(k * 7 % 50 + is_fraud * 10 AS DOUBLE) / 64 AS anomaly_score, row_number() OVER (ORDER BY us, tx_id) - 1 AS i, count(*) OVER () AS n FROM scored""")
+cte("chain_valid", ["chain"], "SELECT * FROM chain WHERE i >= floor(n * CAST(0.6 AS DOUBLE)) AND i < floor(n * CAST(0.75 AS DOUBLE)) AND tx_id % 5 <> 0")
+cte("chain_test", ["chain"], "SELECT * FROM chain WHERE i >= floor(n * CAST(0.75 AS DOUBLE))")
+isotonic("iso_raw", "chain_valid", "p_raw")
+isotonic("iso_anomaly", "chain_valid", "anomaly_score")
+for _part in ("valid", "test"):
+    cte(f"chain_{_part}1", [f"chain_{_part}", "iso_raw"], mapped(f"chain_{_part}", "iso_raw", "p_raw", "p_supervised"))
+    cte(f"chain_{_part}2", [f"chain_{_part}1", "iso_anomaly"], mapped(f"chain_{_part}1", "iso_anomaly", "anomaly_score", "p_anomaly", 0.2))
+    cte(f"chain_{_part}3", [f"chain_{_part}2"], f"SELECT *, 1 - (1 - p_supervised) * (1 - p_anomaly) AS fused FROM chain_{_part}2")
+isotonic("iso_fused", "chain_valid3", "fused")
+cte("chain_out", ["chain_test3", "iso_fused"], mapped("chain_test3", "iso_fused", "fused", "p_fraud"))
+oracle("calibration_chain", f"SELECT tx_id, {rs(['p_supervised', 'p_anomaly', 'p_fraud'])} FROM chain_out", "chain_out")
+
+
 # A step sees the history of all clients and the late steps of its own client. Components: those of the history, joined by the client's own late steps.
 cte("cutoff", ["tx"], f"SELECT max(us) - {2 * DAY} AS c FROM tx")
 cte("later", ["tx", "cutoff"], "SELECT tx.* FROM tx, cutoff WHERE us >= c")
