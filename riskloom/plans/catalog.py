@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions import scan
+from riskloom.functions import phrases, scan
 from riskloom.functions.economics import Economics
 from riskloom.functions.rounding import half_up
 from riskloom.functions.storage import new_path, saved, stored
@@ -17,7 +17,7 @@ from riskloom.operators import (anomaly, cost, counterfactual, dashboard, drift,
 from riskloom.operators.client_features import client_features, client_state
 from riskloom.operators.components import component_features
 from riskloom.operators.entity_features import with_entity_features
-from riskloom.operators.features import feature_matrix
+from riskloom.operators.features import feature_frame, feature_matrix
 from riskloom.sources import fixtures as X
 from riskloom.sources import schema as S
 from riskloom.sources import transactions as TX
@@ -562,10 +562,10 @@ def capacity_selected(spark, sf):
 EXPLAINED = [f for f in S.FEATURES if f not in S.NETWORK_FEATURES and not f.startswith("clients_per")]
 
 
-def _attributed(spark, sf):
+def _attributed(spark, sf, d=None, features=EXPLAINED):
     """Feature rows with stand-in contributions."""
-    d = client_features(_state(spark, sf))
-    c = F.transform(F.sequence(F.lit(0), F.lit(len(EXPLAINED) - 1)), lambda j: (
+    d = d or client_features(_state(spark, sf))
+    c = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda j: (
         ((F.col("tx_id") * (j + 3) + F.col("k") * 7) % 41 - 20) / F.lit(100.0)))
     return d.withColumn("contributions", c)
 
@@ -589,6 +589,14 @@ def reason_text(spark, sf):
     return explain.reason_text(d, features=EXPLAINED).select("tx_id", "reason_no", "feature", "text")
 
 
+@query
+def reason_text_languages(spark, sf):
+    """Reasons over all features in every language, names of codes included."""
+    d = feature_frame(X.tx_events(spark, sf), X.profiles(spark, sf), X.places(spark, sf))
+    d = explain.reasons(_attributed(spark, sf, d, S.FEATURES), S.FEATURES)
+    return explain.reason_texts(d).select("tx_id", "reason_no", "feature", "direction", *[f"text_{lang}" for lang in phrases.LANGUAGES])
+
+
 @query
 def client_message(spark, sf):
     d = dashboard.decided(X.scored_events(spark, sf)).withColumn("dominant_kind", models.dominant_kind())
@@ -642,6 +650,13 @@ def counterfactual_rank(spark, sf):
     return d.select("tx_id", "rank", "field", "action_from", "action_to", "text", "note")
 
 
+@query
+def counterfactual_languages(spark, sf):
+    """What would have softened the decision, or why nothing does, in every language."""
+    d = counterfactual.worded(counterfactual.find_counterfactuals(_explainable(spark, sf), _stand_in_scorer))
+    return d.select("tx_id", "rank", *[f"{c}_{lang}" for lang in phrases.LANGUAGES for c in ("text", "note")])
+
+
 # ---------------------------------------------------------------- replay
 
 @query

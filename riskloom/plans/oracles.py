@@ -542,19 +542,26 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-cte("contrib", ["tx"], f"""SELECT tx_id, j, feature, ((tx_id * (j + 3) + k * 7) % 41 - 20) / CAST(100 AS DOUBLE) AS c
-FROM tx CROSS JOIN (VALUES {', '.join(f"({j}, '{f}')" for j, f in enumerate(EXPLAINED))}) v(j, feature)""")
+for _name, _features in (("contrib", EXPLAINED), ("contrib_all", FEATURES)):
+    cte(_name, ["tx"], f"""SELECT tx_id, j, feature, ((tx_id * (j + 3) + k * 7) % 41 - 20) / CAST(100 AS DOUBLE) AS c
+FROM tx CROSS JOIN (VALUES {', '.join(f"({j}, '{f}')" for j, f in enumerate(_features))}) v(j, feature)""")
 oracle("top_reasons", f"""SELECT tx_id, CAST(rk - 1 AS INT) AS rank, feature, {r('c', 'contribution', 4)} FROM
  (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY c DESC, j) AS rk FROM contrib) WHERE rk <= 3 AND c > 0""", "contrib")
-for _name, _risk, _safe in (("why", 4, 2), ("why_feed", 3, 1)):
-    cte(_name, ["contrib"], f"""SELECT tx_id, CAST(row_number() OVER (PARTITION BY tx_id ORDER BY abs(c) DESC, j) - 1 AS INT) AS reason_no, feature, c,
+
+
+def reasons_cte(name: str, src: str, risk: int, safe: int) -> None:
+    cte(name, [src], f"""SELECT tx_id, CAST(row_number() OVER (PARTITION BY tx_id ORDER BY abs(c) DESC, j) - 1 AS INT) AS reason_no, feature, c,
  CASE WHEN c > 0 THEN 'risk' ELSE 'safe' END AS direction
- FROM (SELECT *, row_number() OVER (PARTITION BY tx_id, c > 0 ORDER BY abs(c) DESC, j) AS rk FROM contrib WHERE abs(c) >= 0.0001)
- WHERE rk <= CASE WHEN c > 0 THEN {_risk} ELSE {_safe} END""")
+ FROM (SELECT *, row_number() OVER (PARTITION BY tx_id, c > 0 ORDER BY abs(c) DESC, j) AS rk FROM {src} WHERE abs(c) >= 0.0001)
+ WHERE rk <= CASE WHEN c > 0 THEN {risk} ELSE {safe} END""")
+
+
+reasons_cte("why", "contrib", 4, 2)
+reasons_cte("why_feed", "contrib", 3, 1)
 oracle("reasons", f"SELECT tx_id, reason_no, feature, {r('c', 'contribution', 4)}, direction FROM why", "why")
 
 
-def shown_sql(f: str) -> str:
+def shown_sql(f: str, lang: str) -> str:
     if f not in P.SHOWN:
         return "''"
     source, fmt = P.SHOWN[f]
@@ -562,16 +569,22 @@ def shown_sql(f: str) -> str:
         return "t.city"
     col = {"category": "t.merchant_category", "channel": "t.channel", "tx_type": "t.tx_type"}.get(source)
     if col:
-        return f"CASE {col} " + " ".join(f"WHEN '{c}' THEN {q(n)}" for c, n in P.CODE_NAMES_EN[source].items()) + f" ELSE {col} END"
-    num = {"amount": "t.amount", "hours": f"f.{f} * 24", "minutes": f"f.{f} * 60", "feature": f"f.{f}"}[source]
+        return f"CASE {col} " + " ".join(f"WHEN '{c}' THEN {q(n)}" for c, n in P.CODE_NAMES[lang][source].items()) + f" ELSE {col} END"
+    num = {"amount": "t.amount", "hours": f"f.{f} * 24", "minutes": f"f.{f} * 60", "expm1": f"exp(f.{f}) - 1", "feature": f"f.{f}"}[source]
     return f"format('{{:{fmt}}}', {num})"
 
 
-TEXT = "CASE w.direction || ':' || w.feature " + " ".join(
-    f"WHEN '{d}:{f}' THEN replace({q(t)}, '{{v}}', {shown_sql(f)})"
-    for d, table in (("risk", P.RISK_EN), ("safe", P.SAFE_EN)) for f, t in table.items() if f in EXPLAINED) + \
-    f" ELSE replace(CASE w.direction WHEN 'risk' THEN {q(P.GENERIC['risk']['en'])} ELSE {q(P.GENERIC['safe']['en'])} END, '{{f}}', w.feature) END"
-oracle("reason_text", f"SELECT w.tx_id, w.reason_no, w.feature, {TEXT} AS text FROM why_feed w JOIN tx t USING (tx_id) JOIN fclient f USING (tx_id)", "why_feed", "tx", "fclient")
+def text_sql(lang: str, features: list[str]) -> str:
+    return "CASE w.direction || ':' || w.feature " + " ".join(
+        f"WHEN '{d}:{f}' THEN replace({q(t)}, '{{v}}', {shown_sql(f, lang)})"
+        for d, table in P.PHRASES[lang].items() for f, t in table.items() if f in features) + \
+        f" ELSE replace(CASE w.direction WHEN 'risk' THEN {q(P.GENERIC['risk'][lang])} ELSE {q(P.GENERIC['safe'][lang])} END, '{{f}}', w.feature) END"
+
+
+oracle("reason_text", f"SELECT w.tx_id, w.reason_no, w.feature, {text_sql('en', EXPLAINED)} AS text FROM why_feed w JOIN tx t USING (tx_id) JOIN fclient f USING (tx_id)", "why_feed", "tx", "fclient")
+reasons_cte("why_all", "contrib_all", 4, 2)
+oracle("reason_text_languages", "SELECT w.tx_id, w.reason_no, w.feature, w.direction, " + ", ".join(f"{text_sql(x, FEATURES)} AS text_{x}" for x in P.LANGUAGES)
+       + " FROM why_all w JOIN tx t USING (tx_id) JOIN matrix f USING (tx_id)", "why_all", "tx", "matrix")
 SPACED = "replace(format('{:,.0f}', amount), ',', ' ')"
 
 
@@ -623,15 +636,24 @@ cte("amount_soft", ["bisect", "strict"], f"""SELECT tx_id, amount AS becomes, ac
  FROM ({at_amount('SELECT s.* REPLACE (CASE try WHEN 0 THEN greatest(100, floor(best / 100) * 100) ELSE best END AS amount), try FROM bisect JOIN strict s USING (tx_id) CROSS JOIN (VALUES (0), (1)) t(try)')})
  WHERE try = 1 OR {SOFT}) WHERE rk = 1""")
 oracle("counterfactual_amount", f"SELECT tx_id, {r('becomes', 'becomes', 2)}, action_from, action_to FROM amount_soft", "amount_soft")
-CHANGE = "CASE field " + " ".join(
-    f"WHEN '{f}' THEN " + (f"replace({q(t['en'])}, '{{v}}', replace(format('{{:,.0f}}', round({cut('becomes', 2)}, 0)), ',', ' '))" if f == "amount" else q(t["en"]))
-    for f, t in P.CHANGE_TEXTS.items()) + " END"
+
+
+def change_sql(lang: str) -> str:
+    return "CASE field " + " ".join(
+        f"WHEN '{f}' THEN " + (f"replace({q(t[lang])}, '{{v}}', replace(format('{{:,.0f}}', round({cut('becomes', 2)}, 0)), ',', ' '))" if f == "amount" else q(t[lang]))
+        for f, t in P.CHANGE_TEXTS.items()) + " END"
+
+
 cte("changes", ["flip_soft", "amount_soft"], f"""SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY {SEV.format('action_to')}, p_to, no) AS rank FROM (
  SELECT tx_id, no, field, CAST(NULL AS DOUBLE) AS becomes, action_from, action_to, p_to FROM flip_soft
  UNION ALL SELECT tx_id, 5, 'amount', becomes, action_from, action_to, p_fraud FROM amount_soft)""")
-oracle("counterfactual_rank", f"""SELECT tx_id, CAST(rank AS INT) AS rank, field, action_from, action_to, {CHANGE} AS text, NULL AS note FROM changes WHERE rank <= 3
+oracle("counterfactual_rank", f"""SELECT tx_id, CAST(rank AS INT) AS rank, field, action_from, action_to, {change_sql('en')} AS text, NULL AS note FROM changes WHERE rank <= 3
 UNION ALL SELECT tx_id, NULL, NULL, action, NULL, NULL, CASE action WHEN 'allow' THEN 'already_softest' ELSE 'nothing_helps' END FROM dec_fb
  WHERE tx_id NOT IN (SELECT tx_id FROM changes)""", "changes", "dec_fb")
+oracle("counterfactual_languages", "SELECT tx_id, CAST(rank AS INT) AS rank, " + ", ".join(f"{change_sql(x)} AS text_{x}, NULL AS note_{x}" for x in P.LANGUAGES)
+       + " FROM changes WHERE rank <= 3 UNION ALL SELECT tx_id, NULL, " + ", ".join(
+           f"NULL, CASE action WHEN 'allow' THEN {q(P.CHANGE_NOTES['already_softest'][x])} ELSE {q(P.CHANGE_NOTES['nothing_helps'][x])} END" for x in P.LANGUAGES)
+       + " FROM dec_fb WHERE tx_id NOT IN (SELECT tx_id FROM changes)", "changes", "dec_fb")
 
 # ------------------------------------------------------------------ replay and wording of the gate
 def isotonic(name: str, src: str, x: str) -> None:
