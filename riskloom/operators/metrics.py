@@ -161,17 +161,49 @@ def brier(score: str = "p_fraud", label: str = "is_fraud") -> Column:
     return F.avg(d * d)
 
 
+def _budget_rows(rows: int, budget: float) -> int:
+    return max(1, round(rows * budget))  # halves go to the even number
+
+
+def recalls_of_scores(df: DataFrame, scores: dict[str, Column], masks: dict[str, Column], budget: float = 0.02, tie: str = "tx_id") -> DataFrame:
+    """Per score and mask: ``recall``, the share of the mask's rows among the top ``budget`` of all rows by that score, and ``n``, its rows.
+
+    All scores are columns of one stored table. The score of each one's last row within the budget is selected in the same passes, then the place of
+    the cut among its ties, and one more pass counts all. The tie column is a number. Rows without a score count as rows but are never
+    among the top."""
+    down = {name: (-c).alias(f"s{i}") for i, (name, c) in enumerate(scores.items())}
+    flags = [F.coalesce(m, F.lit(False)).alias(f"m{i}") for i, m in enumerate(masks.values())]
+    d = selection.narrow(df, *down.values(), F.col(tie).alias("_tie"), *flags)
+    last = _budget_rows(d.count(), budget) - 1
+    columns = {name: F.col(f"s{i}") for i, name in enumerate(scores)}
+    cuts = selection.values_at(d, columns, lambda _, n: [min(last, n - 1)])
+    at = {name: next(iter(found.values())) for name, (n, found) in cuts.items() if n}
+    left = {name: min(last, cuts[name][0] - 1) - f.below for name, f in at.items()}
+    tied = {name: F.when(columns[name] == f.value, F.col("_tie")) for name, f in at.items()}
+    ends = selection.values_at(d, tied, lambda name, _: [left[name]]) if tied else {}
+
+    def top(name: str) -> Column:
+        if name not in at:
+            return F.lit(False)
+        c, (found,) = columns[name], ends[name][1].values()
+        inside = (c < at[name].value) | ((c == at[name].value) & (F.col("_tie") <= found.value))
+        return F.coalesce(inside & ~F.isnan(c), F.lit(False))
+
+    counts = [F.struct(F.lit(score).alias("score"), F.lit(name).alias("name"), F.avg(F.when(F.col(f"m{i}"), top(score).cast("double"))).alias("recall"),
+                       F.count_if(f"m{i}").alias("n")) for score in scores for i, name in enumerate(masks)]
+    return d.agg(F.array(*counts).alias("_all")).select(F.inline("_all"))
+
+
 def recalls_at_budget(df: DataFrame, masks: dict[str, Column], score: str = "p_fraud", budget: float = 0.02,
                       tie: str = "tx_id") -> DataFrame:
     """Per mask (``name``): ``recall``, the share of its rows among the top ``budget`` of all rows by score, and ``n``, its rows.
 
-    The score of the last row of the budget is selected, only its ties are ranked, and one pass counts all masks. Rows without a score
-    count as rows but are never among the top."""
+    The score of the last row of the budget is selected, only its ties are ranked, and one pass counts all masks. The tie column may be a
+    text. Rows without a score count as rows but are never among the top."""
     order = ["_down", "_tie"]
     flags = [F.coalesce(m, F.lit(False)).alias(f"m{i}") for i, m in enumerate(masks.values())]
     d = selection.narrow(df, (-F.col(score)).alias("_down"), F.col(tie).alias("_tie"), *flags)
-    rows = d.count()
-    last = max(1, round(rows * budget)) - 1  # halves go to the even number
+    last = _budget_rows(d.count(), budget) - 1
     n, found = selection.rows_at(d, order, lambda n: {"last": max(0, min(last, n - 1))})
     top = F.coalesce(selection.at_or_before(order, found["last"]), F.lit(False)) if n else F.lit(False)
     top = top & F.col("_down").isNotNull() & ~F.isnan("_down")

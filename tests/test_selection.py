@@ -124,3 +124,17 @@ def test_psi_without_a_side_or_values(spark):
     rows = [("reference", float(i), None) for i in range(30)]
     got = {r["feature"]: r["psi"] for r in drift.psi(spark.createDataFrame(rows, "side string, x double, y double"), ["x", "y"]).collect()}
     assert got == {"x": 0.0, "y": 0.0}
+
+
+def test_recalls_of_many_scores(spark):
+    """Every score's cut at once gives what each gives alone, ties, missing scores and constant scores included."""
+    rng = np.random.default_rng(9)
+    n = 2000
+    pdf = pd.DataFrame({"tx_id": rng.permutation(n), "a": np.round(rng.random(n), 1), "b": rng.random(n), "c": np.full(n, 0.3), "kind": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(pdf).withColumns({"gaps": F.when(F.col("tx_id") % 2 == 0, F.col("b")), "none": F.lit(None).cast("double")})
+    masks = {str(i): F.col("kind") == i for i in range(4)}
+    for budget in (0.0001, 0.1, 0.7, 1.0):
+        got = {(r["score"], r["name"]): (r["recall"], r["n"]) for r in metrics.recalls_of_scores(df, {c: F.col(c) for c in ("a", "b", "c", "gaps", "none")}, masks, budget).collect()}
+        for c in ("a", "b", "c", "gaps", "none"):
+            alone = {r["name"]: (r["recall"], r["n"]) for r in metrics.recalls_at_budget(df, masks, c, budget).collect()}
+            assert {name: got[c, name] for name in masks} == alone
