@@ -20,6 +20,9 @@ If all sizes are 0, all targets are 0. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ SHARDS = 64
 RANGES = 1024
 MAX_SOURCES = 1_000_000
 SEED = 7
+LIBRARY = 10**9
+PI = Decimal("3.1415926535897932384626433832795028841971693993751")
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -83,22 +88,57 @@ def _draw(rng: np.random.Generator, node: np.ndarray, n: int) -> np.ndarray:
     for i, have in enumerate(node):
         rest -= int(have)
         if have and n:
-            # beyond the range of the exact sampler the normal limit is used, within its bounds
-            if have + rest < 10**9:
-                k = int(rng.hypergeometric(have, rest, n))
-            else:
-                p, total = have / (have + rest), have + rest
-                sd = (n * p * (1 - p) * (total - n) / max(total - 1, 1)) ** 0.5
-                k = int(np.clip(round(rng.normal(n * p, sd)), max(0, n - rest), min(have, n)))
-            out[i] = k
+            out[i] = k = hypergeometric(rng, int(have), rest, n)
             n -= k
     return out
 
 
+def _log_factorial(n: int) -> Decimal:
+    """ln n! to some forty digits, by Stirling's series from 1000 on."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9)
+    return (x + Decimal("0.5")) * x.ln() - x + (2 * PI).ln() / 2 + series
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good; the same law at every size.
+
+    The library's sampler ends at a total of 10^9. Beyond it the ratio of uniforms does the same (Stadlober, 1990), with logarithms of enough digits
+    that differences between large factorials keep their value."""
+    total = good + bad
+    if total < LIBRARY:
+        return int(rng.hypergeometric(good, bad, n))
+    least, most = max(0, n - bad), min(good, n)
+    if least == most:
+        return least
+    with localcontext() as context:
+        context.prec = 50
+
+        def log_share(k: int) -> Decimal:
+            return -sum(map(_log_factorial, (k, good - k, n - k, bad - n + k)))
+
+        mean = n * (good / total)
+        spread = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        top = log_share(min(max((n + 1) * (good + 1) // (total + 2), least), most))
+        while True:
+            u, v = rng.random(), rng.random()
+            k = math.floor(mean + 0.5 + width * (v - 0.5) / u) if u else -1
+            if least <= k <= most and 2 * Decimal(u).ln() <= log_share(k) - top:
+                return k
+
+
+def _tag(doc_id: str, text: str) -> Column:
+    """Tells documents of one id apart."""
+    return F.xxhash64(F.lit(SEED), doc_id, text)
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """One row per document: doc, source, size, and the hash that tells its blocks apart."""
     return docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), size_of(text).alias("size"),
-                       F.xxhash64(F.lit(SEED), doc_id, text).alias("tag"))
+                       _tag(doc_id, text).alias("tag"))
 
 
 def plan(docs: DataFrame) -> list[dict]:
@@ -166,6 +206,10 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS) -> DataFrame:
     """Per document: id, size, source_size, target (of its source), taken (words of the mix), shards (in which it occurs)."""
+    return _mixed(docs, doc_id, text, source, shards).drop("tag")
+
+
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, shards: int) -> DataFrame:
     documents, blocks = assign(docs, doc_id, text, source, shards)
     copies = documents.groupBy("doc", "tag", "source").agg(F.count("*").alias("copies"))
     taken = blocks.groupBy("doc", "tag", "source").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
@@ -175,12 +219,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.col("doc").alias("t_doc"), F.col("tag").alias("t_tag"), F.col("source").alias("t_source"), "copies", "taken", "shards")
     return (
         documents.join(per_doc, same)
-        .select(F.col("doc").alias(doc_id), "size", "source_size", "target",
+        .select(F.col("doc").alias(doc_id), "tag", "size", "source_size", "target",
                 F.coalesce(F.expr("taken div copies"), F.lit(0)).cast("long").alias("taken"),
                 F.coalesce("shards", F.array().cast("array<int>")).alias("shards")))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents the mix takes from, with their size, target and the words taken."""
-    chosen = mix(docs, shards=shards).where("taken > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "shards")
+    """The documents the mix takes from, with their size, target and the words taken; documents of one id are told apart by their text."""
+    chosen = (_mixed(docs, "doc_id", "text", "source", shards).where("taken > 0").drop("shards").withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+              .dropDuplicates(["_id", "_tag"]))  # equal rows have equal results
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_tag("doc_id", "text") == F.col("_tag"))
+    return docs.join(chosen, same).drop("_id", "_tag")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm import bpe, hard_negatives, merkle
+from riskloom.llm import bpe, hard_negatives, merkle, mixing
 from riskloom.llm.registry import ORACLES, QUERIES
 from tests.compare import compare, duck
 
@@ -308,3 +308,43 @@ def test_merkle_finds_a_changed_row(odd):
     found = merkle.proofs(odd, every=1)
     assert {r.verified for r in found.where("doc_id IS NULL OR doc_id = 29").collect()} == {True}
     assert not found.where("doc_id IS NOT NULL AND doc_id <> 29 AND verified").count()
+
+
+# ------------------------------------------------------------------ 7, once more
+
+def test_draws_follow_one_law_on_both_sides_of_the_library(monkeypatch):
+    """The sampler for large totals against exact shares of small ones, and against the moments of large ones."""
+    good, bad, n = 12, 30, 9
+    exact = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(n + 1)]) / math.comb(good + bad, n)
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(mixing, "LIBRARY", 0)
+    seen = np.bincount([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1)
+    assert (np.abs(seen / 4000 - exact) < 4.5 * np.sqrt(exact * (1 - exact) / 4000) + 1e-9).all()
+    assert mixing.hypergeometric(rng, 5, 0, 3) == 3 and mixing.hypergeometric(rng, 0, 5, 3) == 0 and mixing.hypergeometric(rng, 4, 3, 7) == 4
+    for library in (0, 10**9):
+        monkeypatch.setattr(mixing, "LIBRARY", library)
+        for total in (999_999_000, 1_000_001_000, 10**13):
+            good, n = total // 3, total // 5
+            draws = np.array([mixing.hypergeometric(rng, good, total - good, n) for _ in range(150)], float)
+            sd = math.sqrt(n * (1 / 3) * (2 / 3) * (1 - n / total))
+            assert abs(draws.mean() - n / 3) < 5 * sd / math.sqrt(150) and 0.7 < draws.std() / sd < 1.35
+
+
+def test_split_tree_of_a_trillion_blocks():
+    quotas = np.array([3 * 10**12, 7, 10**12 + 1])
+    tree = mixing.split_tree(quotas, 64)
+    assert (tree.sum(axis=0) == quotas).all() and (tree >= 0).all()
+    assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 1
+    assert (mixing.split_tree(quotas, 64) == tree).all()
+
+
+def test_mixed_documents_with_clashing_ids(spark):
+    """Two texts under one id keep their own sizes; nothing exceeds twice its size."""
+    rows = [(5, " ".join(["a"] * 10), "x"), (5, " ".join(["b"] * 1000), "x"), (6, "c " * 300, "y"), (6, "c " * 300, "y"), (None, "d " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r.asDict() for r in mixing.mixed_documents(docs).collect()]
+    sizes = {len((r["text"] or "").split()) for r in got}
+    assert sizes <= {10, 1000, 300, 40}
+    for r in got:
+        assert r["size"] == len(r["text"].split()) and 0 < r["taken"] <= 2 * r["size"]
+    assert len(got) == len([r for r in mixing.mix(docs).collect() if r["taken"] > 0])
