@@ -6,7 +6,7 @@ into blocks of ``BLOCK`` words. A source's blocks have a fixed random order, and
 passed through a second time if need be, that comes to its target; so nothing is taken more than twice.
 
 The quotas, in blocks, are then dealt to the output shards by a splitting tree: the root holds the blocks of all
-sources, and each node gives its left half a multivariate hypergeometric draw of its own. Every shard so has exact block
+sources, and each node gives its left half a multivariate hypergeometric draw of its own, by one law at every size. Every shard so has exact block
 quotas and the composition of a random sample. A shard's blocks are the next ones of each source's order, so shards are disjoint;
 within a shard blocks are ordered by a hash.
 
