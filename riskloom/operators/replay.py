@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import scan
@@ -29,6 +29,11 @@ def observe(history_path: str, tx: DataFrame) -> None:
     tx.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(history_path)
 
 
+def history(spark: SparkSession, history_path: str) -> DataFrame:
+    """All transactions observed so far; ``day`` prunes files."""
+    return spark.read.parquet(history_path)
+
+
 def _own_past(history: DataFrame, scenarios: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The history of the scenarios' clients and their profiles, once per scenario; the client key is made of scenario and client, so
     scenarios do not see each other."""

@@ -117,6 +117,29 @@ def scored_table(spark, sf):
     return rounded(back.select("tx_id", F.col("day").cast("string").alias("day"), "p_fraud", "action", "chosen_cost"))
 
 
+@query
+def report_document(spark, sf):
+    """A report written as a document and read back."""
+    path = new_path(spark, "report")
+    found = rounded(policies.policy_per_type(_split(spark, sf).where("split = 'test'")))
+    TX.write_document(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
+@query
+def observed_history(spark, sf):
+    """History stored, newer transactions observed, and the features of those computed from what is stored."""
+    tx = X.tx_events(spark, sf)
+    path = new_path(spark, "history")
+    newer = F.col("tx_id") % 5 == 0
+    replay.observe(path, tx.where(~newer))
+    replay.observe(path, tx.where(newer))
+    stored_tx = replay.history(spark, path)
+    d = client_features(client_state(stored_tx, X.profiles(spark, sf), X.places(spark, sf)))
+    d = with_entity_features(d.where(newer), stored_tx)
+    return rounded(d.select("tx_id", "history_len", "tx_count_24h", "device_tx_share", "clients_per_device", "recipient_clients_24h"))
+
+
 @query
 def resolve_defaults(spark, sf):
     """Requests with gaps, filled from what is known; unknown clients drop out."""

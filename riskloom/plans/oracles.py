@@ -654,6 +654,10 @@ oracle("counterfactual_languages", "SELECT tx_id, CAST(rank AS INT) AS rank, " +
        + " FROM changes WHERE rank <= 3 UNION ALL SELECT tx_id, NULL, " + ", ".join(
            f"NULL, CASE action WHEN 'allow' THEN {q(P.CHANGE_NOTES['already_softest'][x])} ELSE {q(P.CHANGE_NOTES['nothing_helps'][x])} END" for x in P.LANGUAGES)
        + " FROM dec_fb WHERE tx_id NOT IN (SELECT tx_id FROM changes)", "changes", "dec_fb")
+oracle("report_document", f"""SELECT fraud_type, count(*) AS count, {r("avg(CASE WHEN action <> 'allow' THEN 1.0 ELSE 0.0 END)", 'detected_share')},
+ {COUNTS}, {r('avg(p_fraud)', 'mean_p')} FROM test WHERE is_fraud = 1 GROUP BY fraud_type""", "test")
+oracle("observed_history", f"""SELECT tx_id, {rs(['history_len', 'tx_count_24h', 'device_tx_share', 'clients_per_device', 'recipient_clients_24h'])}
+ FROM fclient JOIN fnet USING (tx_id) WHERE tx_id % 5 = 0""", "fclient", "fnet")
 
 # ------------------------------------------------------------------ replay and wording of the gate
 def isotonic(name: str, src: str, x: str) -> None:

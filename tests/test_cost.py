@@ -38,8 +38,8 @@ def test_a_call_beats_a_push_against_persuasion(spark):
 
 def test_no_fraud_means_allow_and_threshold_moves_with_amount(spark):
     d = decided(spark, [(0.0, 10 ** 6, "purchase", STOLEN), (0.05, 3000, "transfer", STOLEN), (0.05, 3000000, "transfer", STOLEN)])
-    assert d.action.tolist()[:2] == ["allow", "allow"] or d.action.iloc[0] == "allow"
-    assert ACTIONS.index(d.action.iloc[2]) > 0
+    assert d.action.iloc[0] == "allow"
+    assert ACTIONS.index(d.action.iloc[2]) > ACTIONS.index(d.action.iloc[1])
 
 
 def test_ties_go_to_the_milder_action(spark):
@@ -79,6 +79,8 @@ def test_decision_map_gets_stricter(spark):
     d = frame(spark, [(0.1, a, "transfer", SOCIAL) for a in (1000, 5000000)])
     m = policies.decision_map(d, 8, 21).toPandas()
     m["rank"] = m.action.map(ACTIONS.index)
-    for _, g in m.groupby(["kind", "i"]):
+    cells = m[m.kind == "stolen_card"].groupby("i")
+    assert cells.ngroups == 21 or cells.ngroups == 8
+    for _, g in cells:
         first = g.sort_values("j")["rank"].gt(0).tolist()
-        assert first == sorted(first) or g.kind.iloc[0] != "stolen_card"
+        assert first == sorted(first)
