@@ -37,9 +37,9 @@ def test_a_call_beats_a_push_against_persuasion(spark):
 
 
 def test_no_fraud_means_allow_and_threshold_moves_with_amount(spark):
-    d = decided(spark, [(0.0, 10 ** 6, "purchase", STOLEN), (0.05, 3000, "transfer", STOLEN), (0.05, 3000000, "transfer", STOLEN)])
-    assert d.action.iloc[0] == "allow"
-    assert ACTIONS.index(d.action.iloc[2]) > ACTIONS.index(d.action.iloc[1])
+    d = decided(spark, [(0.0, 10 ** 6, "purchase", STOLEN), (0.005, 3000, "transfer", STOLEN), (0.005, 3000000, "transfer", STOLEN)])
+    assert d.action.tolist()[:2] == ["allow", "allow"]
+    assert ACTIONS.index(d.action.iloc[2]) > 0
 
 
 def test_ties_go_to_the_milder_action(spark):
@@ -80,7 +80,7 @@ def test_decision_map_gets_stricter(spark):
     m = policies.decision_map(d, 8, 21).toPandas()
     m["rank"] = m.action.map(ACTIONS.index)
     cells = m[m.kind == "stolen_card"].groupby("i")
-    assert cells.ngroups == 21 or cells.ngroups == 8
+    assert cells.ngroups == m.i.nunique() > 1
     for _, g in cells:
         first = g.sort_values("j")["rank"].gt(0).tolist()
         assert first == sorted(first)
