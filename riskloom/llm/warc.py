@@ -6,8 +6,8 @@ Every record starts with a mark drawn for the archive, so records can be told ap
 whatever payloads hold, and large archives can be read in pieces by many tasks.
 
 ``build_index`` is the two-level index: captures are sorted by reversed host, packed into compressed blocks of ``LINES`` lines, and a sparse directory
-holds the first and last key of each block. ``lookup`` binary-searches the directory for each URL, opens only those blocks, and
-``fetch`` reads only the archives they point to.
+holds the first and last key of each block. ``lookup`` (a list of URLs) and ``locate`` (a table of any size) binary-search the directory for each URL and
+open only those blocks; ``fetch`` reads only the byte ranges they point to, in tasks, from whatever file system the archives are on.
 
 Defined cases: a null payload is empty. Equal payloads below ``LEAST_BYTES`` are all responses. A null url has the empty key. A null
 page_id takes no part in choosing the smallest; if no other has its payload it is a response. Rows that repeat a page are each a record. Without pages there
@@ -16,15 +16,19 @@ are no archives and no records. Further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import gzip
+import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ LEAST_BYTES = 0
 LINES = 500
 BROADCAST_ROWS = 200_000
 MAX_URLS = 100_000
+PIECE = 64 << 20  # bytes of an archive that one task fetches
+SPAN, GAP = 4 << 20, 64 << 10  # ranges no further apart than the gap are read at once, up to a span
 CRLF = "\r\n"
 END = CRLF + CRLF
 DATE = "2026-01-01T00:00:00Z"
@@ -60,6 +66,11 @@ class Archive:
         return f"WARC/1.1{CRLF}WARC-Archive-Mark: {self.mark}{CRLF}"
 
 
+def _target(url: Column) -> Column:
+    """A url as its record states it."""
+    return F.regexp_replace(url.cast("string"), "[\\r\\n]", "")
+
+
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES) -> Archive:
     """Write one record per row."""
     d = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
@@ -78,7 +89,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
         "WARC-Type": F.when(revisit, "revisit").otherwise("response"),
         "WARC-Record-ID": F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")),
         "WARC-Date": F.lit(DATE),
-        "WARC-Target-URI": F.regexp_replace("url", "[\\r\\n]", ""),
+        "WARC-Target-URI": _target(F.col("url")),
         "WARC-Payload-Digest": F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))),
         "WARC-Refers-To": F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
         "WARC-Profile": F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
@@ -153,12 +164,15 @@ class CaptureIndex:
 COLUMNS = ("key", "id", "file", "offset", "length")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key of a url for the url, with the columns that follow it."""
+    for b in batches:
+        keys = pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([keys, *b.columns[1:]], names=["key", *b.schema.names[1:]])
+
+
 def build_index(records: DataFrame) -> CaptureIndex:
     """Sort captures by key into compressed blocks, and keep a directory of the blocks."""
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string()), *b.columns[1:]], names=list(COLUMNS))
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -175,7 +189,7 @@ def build_index(records: DataFrame) -> CaptureIndex:
         if rows:
             yield block(rows)
 
-    keys = records.select("url", "id", "file", "offset", "length").mapInArrow(keyed, "key string, id string, file string, offset long, length long")
+    keys = records.select("url", "id", "file", "offset", "length").mapInArrow(_keyed, "key string, id string, file string, offset long, length long")
     ordered = keys.repartitionByRange("key", "id", "file", "offset").sortWithinPartitions("key", "id", "file", "offset")
     blocks = ordered.mapInArrow(packed, "first string, last string, lines int, data binary").withColumn("block", F.monotonically_increasing_id())
     blocks = stored(blocks, "capture-blocks")
@@ -211,19 +225,86 @@ def lookup(index: CaptureIndex, urls: list[str]) -> DataFrame:
     return opened(index.blocks.join(F.broadcast(found), "block", "left_semi"), keys)  # MAX_URLS blocks and their neighbours at most
 
 
-def fetch(archive: Archive, captures: DataFrame) -> DataFrame:
-    """The records, with payloads, that a lookup found; only archives it names are read."""
-    files = [r[0] for r in captures.select("file").distinct().collect()]  # bounded by the urls looked up
-    wanted = captures.select("file", "offset")
-    return read(archive, files).join(F.broadcast(wanted), ["file", "offset"], "left_semi") if files else read(archive).limit(0)
+def locate(index: CaptureIndex, urls: DataFrame, url: str = "url") -> DataFrame:
+    """The captures of a table of urls, as :func:`lookup` finds those of a list.
+
+    The directory, a row per ``LINES`` captures, is sent to the tasks; they binary-search it for the blocks that a key can lie in."""
+    keys = stored(urls.select(_target(F.col(url)).alias("key")).distinct().mapInArrow(_keyed, "key string").distinct(), "wanted-keys")
+    table = index.directory.select("first", "last", "block").toArrow()
+    # block numbers ascend with the keys, so both ends of the blocks are sorted
+    ends = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "first", "last"))))
+    shared = urls.sparkSession.sparkContext.broadcast(tuple([e[i] for e in ends] for i in range(3)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, firsts, lasts = shared.value
+        for b in batches:
+            hit = {n for k in b.column(0).to_pylist() for n in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))}
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[n] for n in sorted(hit)], pa.int64())], names=["block"])
+
+    found = keys.mapInArrow(run, "block long").distinct()
+    return opened(index.blocks.join(found, "block", "left_semi")).join(keys, "key", "left_semi")
+
+
+FETCHED = "id string, url string, type string, payload string, payload_bytes long, payload_digest string, refers_to string, file string, offset long, length long"
+URN = re.compile(r"^<urn:page:(.*)>$")
+
+
+def _parsed(data: memoryview, lead: int, with_payload: bool) -> tuple:
+    """The columns of :func:`read` for the record whose bytes these are."""
+    raw = bytes(data[lead:])
+    head, _, rest = raw.partition(END.encode())
+    said = dict(line.split(": ", 1) for line in head.decode().split(CRLF) if ": " in line)
+    http, _, payload = rest[:int(said["Content-Length"])].partition(END.encode())
+    response = said["WARC-Type"] == "response"
+    size = len(payload) if response else int(http.rsplit(b"Content-Length: ", 1)[1].split(CRLF.encode())[0])
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else said["WARC-Payload-Digest"].removeprefix("sha1:")
+    refers = URN.match(said.get("WARC-Refers-To", ""))
+    return (URN.match(said["WARC-Record-ID"]).group(1), said.get("WARC-Target-URI") or None, said["WARC-Type"], payload.decode() if with_payload else None,
+            size, digest, refers.group(1) if refers else None)
+
+
+def fetch(archive: Archive, captures: DataFrame, payload: bool = True) -> DataFrame:
+    """The records that a lookup found, as :func:`read` gives them; only their byte ranges are read. ``payload`` says whether to bring the payloads."""
+    spark, lead = archive.spark, len(archive.opening)
+    wanted = stored(captures.select("file", "offset", "length").distinct(), "wanted-ranges")
+    total = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PIECE))
+    dealt = wanted.repartition(parts, "file", F.floor(F.col("offset") / (PIECE // 8))).sortWithinPartitions("file", "offset")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """Runs of ranges that lie close together in one file."""
+        at, some = None, []
+        for b in batches:
+            for file, offset, length in zip(*(c.to_pylist() for c in b.columns)):
+                if some and (file != at or offset - sum(some[-1]) > GAP or offset + length - some[0][0] > SPAN):
+                    yield at, some
+                    some = []
+                at = file
+                some.append((offset, length))
+        if some:
+            yield at, some
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, source = None, None
+        for file, some in spans(batches):
+            if file != at:
+                system, path = fs.FileSystem.from_uri(file)
+                at, source = file, system.open_input_file(path)
+            start = some[0][0]
+            data = memoryview(source.read_at(sum(some[-1]) - start, start))
+            rows = [(*_parsed(data[o - start:o - start + n], lead, payload), file, o, n) for o, n in some]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (4, 8, 9) else pa.string()) for i, c in enumerate(zip(*rows))],
+                                             names=[f.split(" ")[0] for f in FETCHED.split(", ")])
+
+    return dealt.mapInArrow(run, FETCHED)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write the pages, index the archives, and read every capture back through the index."""
+    """Write the pages, index the archives, look every url up in the index and fetch what it points to."""
     archive = write(pages, page_id, url, html)
-    records = stored(read(archive), "records")
-    captures = opened(build_index(records).blocks).select("file", "offset")
+    records = stored(read(archive).select("url", "id", "file", "offset", "length"), "records")
+    captures = locate(build_index(records), pages, url)
     kind = pages.schema[page_id].dataType
-    return records.join(captures, ["file", "offset"]).select(
+    return fetch(archive, captures, payload=False).select(
         F.when(F.col("id") != "", F.col("id")).cast(kind).alias(page_id), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         F.col("refers_to").cast(kind).alias("refers_to"))
