@@ -4,21 +4,27 @@ Clients are linked to the devices, addresses and recipients they use. The link g
 only the first use of a link matters, and component sizes change only when two components merge.
 
 1. ``links``: first use of every (client, entity) pair.
-2. ``merges``: the merge log, at most one row per node. Time is halved again and again. At each
+2. ``thinned``: of any set of links, one that closes a circle of earlier ones never joins two components. Bounded runs of
+   links, those of a client together, are rid of such links, which leaves little more than one link per client and run.
+3. ``merges``: the merge log, at most one row per node. Time is halved again and again. At each
    level the first half of every span is contracted by min-label propagation, for all spans at once,
    and the second half is relabelled with the result; a link inside one component disappears. When
    a span holds few links its merges are replayed in order. Depth grows with the logarithm of the
    number of links, and a giant component is only ever a label.
-3. A component is named by the smallest node hash in it. Hashes are random with respect to time, so
+4. A component is named by the smallest node hash in it. Hashes are random with respect to time, so
    the name of a client's component changes a logarithmic number of times; these changes are kept as
    a short history per client.
-4. Each transaction looks up the name in its client's history and then the latest size of that
+5. Each transaction looks up the name in its client's history and then the latest size of that
    component, as a running "last value before me" over one narrow table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +118,42 @@ def _replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["us", "tx_id", "part", "kept", "gone", "clients", "nodes"])
 
 
+def _spanning(links: pa.Table) -> pa.Table:
+    """The links that join two components when these links alone are added in time order."""
+    ordered = links.select(["us", "tx_id", "part"]).to_pandas().sort_values(["us", "tx_id", "part"], kind="stable").index.to_numpy()
+    _, ends = np.unique(np.concatenate([links.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = ends[:len(links)][ordered].tolist(), ends[len(links):][ordered].tolist()
+    parent = list(range(len(ends)))
+    kept = []
+    for i, (a, b) in enumerate(zip(u, v)):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return links.take(pa.array(ordered[kept], pa.int64()))
+
+
+def thinned(first_links: DataFrame, max_links: int) -> DataFrame:
+    """The links without some that cannot merge anything: at most ``max_links`` at a time are held against each other, those of a client
+    next to each other. All that do merge stay, and with them every node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for start in range(0, len(batch), max_links):
+                part = batch.slice(start, max_links)
+                if held and sum(map(len, held)) + len(part) > max_links:
+                    yield from _spanning(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(part)
+        if held:
+            yield from _spanning(pa.Table.from_batches(held)).to_batches()
+
+    return first_links.repartition("u").mapInArrow(run, first_links.schema)
+
+
 def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     """The merge log: at (us, tx_id, part) component ``gone`` joined ``kept``, which then has
     ``clients`` clients and ``nodes`` nodes. Nodes that stand for more than themselves come with their sizes (uc, un, vc, vn)."""
@@ -119,7 +161,7 @@ def merges(first_links: DataFrame, max_links: int | None = None) -> DataFrame:
     max_links = max_links or span_links(spark)
     order = ["us", "tx_id", "part"]
     # spans are ranges of time, stored so that a retry cannot move an edge
-    first_links = saved(first_links)
+    first_links = saved(thinned(first_links, max_links))
     spans = max(1, -(-first_links.count() // max_links))
     dealt = first_links.repartitionByRange(spans, *order) if spans > 1 else first_links
     levels = (spans - 1).bit_length()
